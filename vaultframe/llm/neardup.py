@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits (problem 6): an exact set-similarity join over word shingles by a token-group matrix.
 
 1. Every text becomes the set of hashes of its runs of `width` words. Texts of equal sets are one class with one representative.
-2. Representatives are partitioned into groups of similar sets: same minimum of a hash over the set, same size class.
+2. Representatives are partitioned into groups of similar sets: same minima of some hashes over the set, same size class.
 3. Tokens are ordered by a count sketch over all sets, rarest first (any order gives the same result; this one keeps the matrix thin).
    The token-group matrix holds, for each group, the union of its members' leading tokens: a set of n tokens leads with as many
    as any partner of at least the threshold must share `depth` of (the prefix rule of set joins).
@@ -27,6 +27,8 @@ from vaultframe.session import materialize, skew_join
 #: Counters of the token sketch: 2 ** SKETCH_BITS. Its broadcast is a byte for each, whatever the corpus' size.
 SKETCH_BITS = 20
 _BLOCK_BITS = 14
+#: Members of a group agree in as many minimum hashes: fewer make larger, looser groups, whose unions bound less well.
+GROUP_HASHES = 3
 #: Code points handled at once.
 CHUNK_CHARS = 4_000_000
 
@@ -117,10 +119,12 @@ def leading_tokens(sets: DataFrame, sketch: np.ndarray, threshold: float, depth:
             sizes = np.diff(limits)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             tokens = values.view(np.uint64)
-            # minimum of an independent hash over each set, and the size class: similar sets meet
-            least = np.minimum.reduceat(kernel.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), limits[:-1])
-            steps = np.floor(np.log(sizes) / -np.log(min(threshold, 0.99))).astype(np.uint64)
-            group = kernel.mix(least + steps).view(np.int64)
+            # minima of some independent hashes over each set, and the size class: similar sets meet
+            group = np.floor(np.log(sizes) / -np.log(min(threshold, 0.99))).astype(np.uint64)
+            for seed in range(1, GROUP_HASHES + 1):
+                least = np.minimum.reduceat(kernel.mix(tokens ^ np.uint64(0x5851F42D4C957F2D * seed % 2**64)), limits[:-1])
+                group = kernel.mix(group + least)
+            group = group.view(np.int64)
             order = np.lexsort((tokens, rank[_slots(values)], owner))
             place = np.arange(len(tokens)) - limits[:-1][owner]
             query = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + depth)
@@ -156,7 +160,7 @@ class NearDuplicates:
         return self.members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc", "rep", F.coalesce("label", "rep").alias("grp"))
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 1, depth: int = 3) -> NearDuplicates:
+def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 1, depth: int = 4) -> NearDuplicates:
     """Texts whose sets of distinct runs of `width` lower-cased words have an intersection of at least `threshold` of their union.
 
     Exact. Null texts, and texts of fewer than `min_words` or `width` words, take part in nothing. Repeated rows count
