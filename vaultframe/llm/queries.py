@@ -5,11 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.llm import encoding, neardup
+from vaultframe.llm import chunks, cooccurrence, encoding, neardup, packing, reading
 from vaultframe.llm.sql import ORACLES as ORACLES
 from vaultframe.session import table
 
 
+def _tags(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "document_tags").select("document", F.lower("name").alias("tag"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = cooccurrence.associations(_tags(spark, sf), "document", "tag", min_count=5, min_lift=4)
+    return found.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p3_surprise(spark: SparkSession, sf: str) -> DataFrame:
+    found = cooccurrence.associations(_tags(spark, sf), "document", "tag", min_count=2)
+    return found.withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
+
+
+def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_surprise(spark, sf).select("tag_a", "tag_b", "together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.oversized_blocks(table(spark, sf, "documents"), "doc_id", "body", table(spark, sf, "headings"))
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.split(table(spark, sf, "documents"), "doc_id", "body", table(spark, sf, "headings"))
+
+
 def _near(spark: SparkSession, sf: str) -> neardup.NearDuplicates:
     return neardup.near_duplicates(table(spark, sf, "documents"), "doc_id", "body", width=3, threshold=0.7, min_words=50)
 
@@ -35,4 +61,37 @@ def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.decode(p7_ids(spark, sf), "doc_id", "ids")
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p6_strict": p6_strict, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
+def _packed(spark: SparkSession, sf: str, **limits) -> DataFrame:
+    sizes = packing.token_sizes(table(spark, sf, "documents"), "doc_id", "text", F.col("body_offset"))
+    return packing.pack(sizes, "doc_id", **limits)
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+def p8_instruction(spark: SparkSession, sf: str) -> DataFrame:
+    """With limits that bind: at most 6 segments and 1,900 tokens of body a container."""
+    return _packed(spark, sf, max_segments=6, max_loss=1900)
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf))
+
+
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_level(table(spark, sf, "documents"), "doc_id", "body", table(spark, sf, "reading_labels"), "doc_id", "grade")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    demanding = (F.col("words") >= 80) & (F.col("letters") > 5.8 * F.col("words")) & (F.col("words") > 18 * F.col("sentences"))
+    return p9_levels(spark, sf).filter(demanding & F.col("difficulty").isNotNull()).select("doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_groups, p6_strict, p7_ids, p7_decoded,
+        p8_containers, p8_instruction, p8_report, p9_found, p9_levels,
+    )
+}

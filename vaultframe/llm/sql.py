@@ -11,7 +11,19 @@ WITH worded AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 )"""
 
+_TAGS = """
+WITH tagged AS (SELECT DISTINCT document, lower(name) AS tag FROM document_tags WHERE name IS NOT NULL),
+n AS (SELECT tag, count(*) AS n FROM tagged GROUP BY 1),
+total AS (SELECT count(DISTINCT document) AS docs FROM document_tags),
+pair AS (
+  SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS together FROM tagged a JOIN tagged b ON a.document = b.document AND a.tag < b.tag GROUP BY 1, 2
+), counted AS (
+  SELECT tag_a, tag_b, together, x.n AS n_a, y.n AS n_b, docs FROM pair JOIN n x ON x.tag = tag_a JOIN n y ON y.tag = tag_b, total
+)"""
+
 ORACLES = {
+    "p3_found": _TAGS + " SELECT tag_a, tag_b FROM counted WHERE together >= 5 AND together * docs >= 4 * n_a * n_b",
+    "p3_counts": _TAGS + " SELECT tag_a, tag_b, together, n_a, n_b, round(together * docs / (n_a * n_b), 6) AS lift FROM counted WHERE together >= 2",
     "p6_found": _SHINGLES.format(last=2, words=50) + " SELECT doc_a, doc_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
