@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.llm import chunks, cooccurrence, encoding, neardup, packing, reading
+from vaultframe.llm import chunks, cooccurrence, encoding, neardup, neighbours, packing, reading
 from vaultframe.llm.sql import ORACLES as ORACLES
 from vaultframe.session import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, sf, "document_vectors"), k=5, least=0.9)
+
+
 def _tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "document_tags").select("document", F.lower("name").alias("tag"))
 
@@ -91,7 +95,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_groups, p6_strict, p7_ids, p7_decoded,
+        p2_found, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_groups, p6_strict, p7_ids, p7_decoded,
         p8_containers, p8_instruction, p8_report, p9_found, p9_levels,
     )
 }

@@ -21,7 +21,20 @@ pair AS (
   SELECT tag_a, tag_b, together, x.n AS n_a, y.n AS n_b, docs FROM pair JOIN n x ON x.tag = tag_a JOIN n y ON y.tag = tag_b, total
 )"""
 
+_VECTORS = """
+WITH v AS (
+  SELECT DISTINCT document, model_id, dimensions, embedding::DOUBLE[] AS e FROM document_vectors
+  WHERE embedding IS NOT NULL AND len(embedding) = dimensions AND dimensions > 0
+    AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.model_id, a.dimensions, a.document AS d, b.document AS o, round(max(list_cosine_similarity(a.e, b.e)), 12) AS c
+  FROM v a JOIN v b ON a.model_id = b.model_id AND a.dimensions = b.dimensions AND a.document <> b.document GROUP BY 1, 2, 3, 4
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model_id, dimensions, d ORDER BY c DESC, o) AS n FROM near
+)"""
+
 ORACLES = {
+    "p2_found": _VECTORS + " SELECT DISTINCT model_id, dimensions, least(d, o) AS doc_a, greatest(d, o) AS doc_b FROM ranked WHERE n <= 5 AND c >= 0.9",
     "p3_found": _TAGS + " SELECT tag_a, tag_b FROM counted WHERE together >= 5 AND together * docs >= 4 * n_a * n_b",
     "p3_counts": _TAGS + " SELECT tag_a, tag_b, together, n_a, n_b, round(together * docs / (n_a * n_b), 6) AS lift FROM counted WHERE together >= 2",
     "p6_found": _SHINGLES.format(last=2, words=50) + " SELECT doc_a, doc_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7",
