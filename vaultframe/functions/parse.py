@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.functions import frontmatter, markdown
+from vaultframe.session import spread
 
 SPAN = "span_line:int,span_column:int,span_offset:bigint"
 HEADING = f"ordinal:int,text:string,slug:string,level:int,{SPAN},body_offset:bigint,inside_container:boolean"
@@ -72,7 +73,7 @@ def parse(df: DataFrame, key: str, text: str) -> DataFrame:
                 if i < len(texts):
                     size += len(texts[i] or "")
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {PARSED}")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {PARSED}")
 
 
 def facts(parsed: DataFrame, key: str, name: str) -> DataFrame:

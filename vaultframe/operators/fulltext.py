@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultframe.session import spread
+
 _RUN = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -40,7 +42,7 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
                 at += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["term", "doc", "positions"])
 
-    return df.select(key, text).mapInArrow(index, f"term string, doc {dict(df.dtypes)[key]}, positions array<int>")
+    return spread(df.select(key, text)).mapInArrow(index, f"term string, doc {dict(df.dtypes)[key]}, positions array<int>")
 
 
 def vocabulary(index: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultframe.session import spread
+
 ITEM = "~"
 LEVELS = "{key} {key_type}, path string, kind string, fresh int, repetition array<int>, definition array<int>, value array<string>"
 _MISSING = object()
@@ -194,7 +196,7 @@ def shred(df: DataFrame, key: str, column: str) -> DataFrame:
                 names=["record", "path", "kind", "fresh", "repetition", "definition", "value"],
             )
 
-    return df.select(F.col(key).alias("record"), F.col(column).alias("text")).mapInArrow(stripe, schema)
+    return spread(df.select(F.col(key).alias("record"), F.col(column).alias("text"))).mapInArrow(stripe, schema)
 
 
 def _positions(steps: list[str], repetition: list[int]) -> Iterator[list[int]]:

@@ -28,6 +28,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its scan has too few partitions to use them, as a single small file has; otherwise untouched. For scans
+    that feed an Arrow pass, whose cost is in Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet under the checkpoint folder and read again: lineage is cut, an executor's loss costs nothing,
     and later passes read only the columns they need. The files go when the driver's process ends, or by `release`."""
