@@ -4,8 +4,8 @@
 (which repeated ancestor starts anew) and a definition level (how far along the path the record goes) for each. `objects`
 and `cells` rebuild rows of any repeated ancestor from those level sequences alone; the JSON isn't read again.
 
-A path is its steps joined by '/': a field is its name escaped as in a JSON Pointer (~0, ~1), an array item is '~'
-(no escaped name is a lone '~'). Step k (from 0) adds two to the definition level: 2k + 1 when the value at depth k has the kind
+A path is its steps, each after a '/': a field is its name escaped as in a JSON Pointer (~0, ~1), an array item is '~'
+(no escaped name is a lone '~'). The record's own path is ''. Step k (from 0) adds two to the definition level: 2k + 1 when the value at depth k has the kind
 the step needs (object or array), 2k + 2 when the field or item is there. A leaf adds one more. `kind` tells leaves apart: 'value'
 (a scalar, null included), 'object' (an object that is empty in the whole record), 'array' (likewise).
 `fresh` is the least depth whose objects no earlier path of the record covers: each object belongs to exactly one path, so
@@ -154,7 +154,7 @@ def shred_record(text: str | None) -> list[tuple[str, str, int, list[int], list[
                 break
             shared += 1
         covered = [s for s in range(shared + 1) if s < len(before) and before[s] != ITEM]
-        out.append(("/".join(steps), kind, covered[-1] + 1 if covered else 0, rep, dfn, values))
+        out.append(("".join(f"/{s}" for s in steps), kind, covered[-1] + 1 if covered else 0, rep, dfn, values))
         before = steps
     return out
 
@@ -215,7 +215,7 @@ def _positions(steps: list[str], repetition: list[int]) -> Iterator[list[int]]:
 
 def record_objects(path: str, kind: str, fresh: int, repetition: list[int], definition: list[int]) -> list[tuple[str, str]]:
     """(node, parent) of the objects below the root that this path owns: those from depth `fresh` on."""
-    steps = path.split("/") if path else []
+    steps = path.split("/")[1:]
     depths = [s for s in range(max(1, fresh), len(steps)) if steps[s] != ITEM]
     if kind == "object" and steps:
         depths.append(len(steps))
@@ -266,12 +266,12 @@ def objects(levels: DataFrame) -> DataFrame:
 
 def record_cells(path: str, kind: str, repetition: list[int], definition: list[int], value: list[str | None]) -> list[tuple]:
     """(table, node, parent, parent_table, column, value): each present value as a cell of its nearest repeated ancestor's table."""
-    steps = path.split("/") if path else []
+    steps = path.split("/")[1:]
     cuts = [0] + [i + 1 for i, s in enumerate(steps) if s == ITEM]
     own, up = cuts[-1], cuts[-2] if len(cuts) > 1 else 0
     full = 2 * len(steps) + 1
     column = "/".join(steps[own:])
-    named, above = "/".join(steps[:own]), "/".join(steps[:up])
+    named, above = "".join(f"/{s}" for s in steps[:own]), "".join(f"/{s}" for s in steps[:up])
     out = []
     for d, v, at in zip(definition, value, _positions(steps, repetition)):
         if d == full:

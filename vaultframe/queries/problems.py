@@ -26,7 +26,7 @@ def p1_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_tasks(spark: SparkSession, sf: str) -> DataFrame:
     cell = shred.cells(_levels(spark, sf))
-    return shred.flat_table(cell, "tasks/~", ["name", "state", "due"]).withColumnRenamed("record", "doc_id")
+    return shred.flat_table(cell, "/tasks/~", ["name", "state", "due"]).withColumnRenamed("record", "doc_id")
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
