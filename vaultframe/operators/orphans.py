@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.operators import paths
-from vaultframe.session import skew_join
+from vaultframe.session import materialize, skew_join
 
 
 def missing_keys(parents: DataFrame, probes: DataFrame, key: str = "key", ranges: int | None = None) -> DataFrame:
@@ -108,20 +108,20 @@ def orphan_links(links: DataFrame, documents: DataFrame, headings: DataFrame) ->
     none of the named documents has ('headings'). Repeated links count once. Documents and headings that came later than the link
     count; percent signs mean themselves; block references aren't judged. Empty tables, null columns and very long targets are
     fine: a link with a null target names nothing. Columns besides those of the vault's tables are ignored."""
-    keyed = link_keys(links, documents)
+    keyed = materialize(link_keys(links, documents).select("document", "ordinal", "target_keys", "anchor_keys"), "link-keys")
     keys = ("target_keys", "anchor_keys")
     refs = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("links"))  # hot targets become one row here
     probes = refs.select(F.explode(F.concat("target_keys", F.coalesce("anchor_keys", F.array().cast("array<string>")))).alias("key"))
-    missing = missing_keys(parent_keys(documents, headings), probes).withColumn("missing", F.lit(True))
+    missing = materialize(missing_keys(parent_keys(documents, headings), probes), "missing")
     # each reference's keys that are missing, by kind; a target's key stands in as many references as it has anchors, hence the skew-safe join
     asked = refs.select(
         *keys, F.explode(F.concat(F.transform("target_keys", lambda k: F.struct(k.alias("key"), F.lit(True).alias("of_target"))), F.transform(F.coalesce("anchor_keys", F.array().cast("array<string>")), lambda k: F.struct(k.alias("key"), F.lit(False).alias("of_target"))))).alias("k")
     ).select(*keys, "k.key", "k.of_target")
     lost = skew_join(asked, missing, "key", "inner").groupBy(*keys).agg(F.sum(F.col("of_target").cast("int")).alias("t"), F.sum((~F.col("of_target")).cast("int")).alias("a"))
-    verdict = lost.select(
+    verdict = materialize(lost.select(
         _ref(),
         F.when(F.col("t") == F.size("target_keys"), "documents").when(F.col("anchor_keys").isNotNull() & (F.col("a") == F.size("anchor_keys")), "headings").alias("missing_in"),
-    ).filter("missing_in is not null")
+    ).filter("missing_in is not null"), "verdicts")
     rows = keyed.select("document", "ordinal", _ref(), (F.size("target_keys") == 0).alias("nameless"))
     found = skew_join(rows.filter(~F.col("nameless")), verdict, "ref", "inner").select("document", "ordinal", "missing_in")
     nameless = rows.filter("nameless").select("document", "ordinal", F.lit("documents").alias("missing_in"))
