@@ -57,34 +57,38 @@ def token_sizes(df: DataFrame, key: str, text: str, loss_from: Column | None = N
 def fill(tokens: np.ndarray, segments: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
     """The container number of each item, by the dot-product heuristic. Every item must fit an empty container."""
     sizes = np.stack((tokens, segments, loss), 1).astype(np.int64)
-    kinds, of, left = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
-    of = of.reshape(-1)
-    queue = np.argsort(of, kind="stable")
+    kinds, of, left = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)  # by tokens, rising
+    queue = np.argsort(of.reshape(-1), kind="stable")
     nth = np.cumsum(left) - left
     out = np.zeros(len(sizes), np.int64)
     limit = np.array(limits, np.int64)
     share = kinds / np.maximum(limit, 1)
-    weight = (share * left[:, None]).sum(0) / max(1, len(sizes))  # scarcer sizes count for more
-    pull = share * weight
-    container, rest = 0, limit.copy()
-    alive = np.arange(len(kinds))
-    remaining = len(sizes)
+    pull = share * (share * left[:, None]).sum(0) / max(1, len(sizes))  # scarcer sizes count for more
+    alone = pull.sum(1)  # the score in an empty container, where all of every limit is left
+    number = np.arange(len(kinds))
+    container, rest, remaining, gone = 0, limit.copy(), len(sizes), 0
     while remaining:
-        fits = (kinds[alive] <= rest).all(1)
-        if not fits.any():
+        if gone * 2 > len(number):  # forget kinds that are used up
+            live, gone = left[number] > 0, 0
+            number, kinds, pull, alone = number[live], kinds[live], pull[live], alone[live]
+        fits = int(np.searchsorted(kinds[:, 0], rest[0], "right"))
+        if (rest == limit).all():
+            score = np.where(left[number[:fits]] > 0, alone[:fits], -1.0)
+        else:
+            ok = (left[number[:fits]] > 0) & (kinds[:fits, 1] <= rest[1]) & (kinds[:fits, 2] <= rest[2])
+            score = np.where(ok, pull[:fits] @ (rest / np.maximum(limit, 1)), -1.0)
+        best = int(np.argmax(score)) if fits else 0
+        if not fits or score[best] < 0:
             container, rest = container + 1, limit.copy()
             continue
-        score = pull[alive] @ (rest / np.maximum(limit, 1))
-        score[~fits] = -1
-        best = alive[int(np.argmax(score))]
-        take = int(left[best]) if not kinds[best].any() else 1
-        out[queue[nth[best] : nth[best] + take]] = container
-        nth[best] += take
-        left[best] -= take
+        k = number[best]
+        take = 1 if kinds[best].any() else int(left[k])  # items of no size all go where the first does
+        out[queue[nth[k] : nth[k] + take]] = container
+        nth[k] += take
+        left[k] -= take
         remaining -= take
+        gone += left[k] == 0
         rest = rest - kinds[best]
-        if not left[best]:
-            alive = alive[alive != best]
     return out
 
 
@@ -113,7 +117,9 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, max_segments: int
     def fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "item", "part"], ascending=[False, True, True], kind="stable")
         n = pdf["tokens"].to_numpy()
-        at = fill(n, (n > 0).astype(np.int64), pdf["loss"].to_numpy(), (capacity, max_segments, most))
+        # loss is part of the tokens, so a limit on it of the whole capacity can't bind and needn't tell kinds apart
+        loss = pdf["loss"].to_numpy() if most < capacity else np.zeros(len(n), np.int64)
+        at = fill(n, (n > 0).astype(np.int64), loss, (capacity, max_segments, most))
         pdf = pdf.assign(container=(int(pdf["grp"].iloc[0]) << 32) + at)
         pdf["start"] = pdf.groupby("container")["tokens"].cumsum() - pdf["tokens"]
         return pdf.rename(columns={"item": key})[[key, "part", "container", "start", "tokens", "loss"]]
