@@ -34,6 +34,8 @@ def scan_blocks(body: bytes, headings: list[tuple[int, int]]) -> list[tuple[int,
     at = 0
     for line in flat.split(b"\n"):
         stop = at + len(line)
+        if at and at == len(body):  # what follows the last line's end is no line
+            break
         while nth < len(marks) and marks[nth] < at:
             nth += 1
         if fence:
