@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultframe.llm import kernel
-from vaultframe.session import materialize
+from vaultframe.session import materialize, spread
 
 #: Where the public vocabulary files are; a path all executors needn't have, as the driver reads the file and broadcasts it.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -122,7 +122,7 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
                 )
                 block += 1
 
-    return df.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(make, f"block bigint, doc {kind}, dictionary boolean, places array<int>, words array<string>")
+    return spread(df.select(F.col(key).alias("doc"), F.col(text).alias("text"))).mapInArrow(make, f"block bigint, doc {kind}, dictionary boolean, places array<int>, words array<string>")
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import kernel
-from vaultframe.session import materialize, skew_join
+from vaultframe.session import materialize, skew_join, spread
 
 #: Counters of the token sketch: 2 ** SKETCH_BITS. Its broadcast is a byte for each, whatever the corpus' size.
 SKETCH_BITS = 20
@@ -63,7 +63,7 @@ def shingle_table(df: DataFrame, key: str, text: str, width: int, min_words: int
                 marks = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in keep]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + i for i in keep], pa.int64())), pa.array(marks, pa.binary()), pa.array([int.from_bytes(m[:8], "little", signed=True) for m in marks], pa.int64()), tokens], names=["doc", "mark", "head", "tokens"])
 
-    return df.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("text is not null").mapInArrow(make, f"doc {dict(df.dtypes)[key]}, mark binary, head bigint, tokens array<bigint>")
+    return spread(df.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("text is not null")).mapInArrow(make, f"doc {dict(df.dtypes)[key]}, mark binary, head bigint, tokens array<bigint>")
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:

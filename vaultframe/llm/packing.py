@@ -124,7 +124,7 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, max_segments: int
         pdf["start"] = pdf.groupby("container")["tokens"].cumsum() - pdf["tokens"]
         return pdf.rename(columns={"item": key})[[key, "part", "container", "start", "tokens", "loss"]]
 
-    return spread.groupBy("grp").applyInPandas(fill_group, f"`{key}` {kind}, part int, container bigint, start bigint, tokens bigint, loss bigint")
+    return spread.repartition(groups, "grp").groupBy("grp").applyInPandas(fill_group, f"`{key}` {kind}, part int, container bigint, start bigint, tokens bigint, loss bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import kernel, prose
-from vaultframe.session import materialize
+from vaultframe.session import materialize, spread
 
 WORD_BITS = 16
 #: The style grid: cells of a factor 2 ** (1 / GRID), GRID_SIDE along each measure.
@@ -67,7 +67,7 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
                 )
                 start = stop
 
-    return df.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(make, f"doc {dict(df.dtypes)[key]}, words bigint, letters bigint, sentences bigint, nodes array<int>, counts array<int>")
+    return spread(df.select(F.col(key).alias("doc"), F.col(text).alias("text"))).mapInArrow(make, f"doc {dict(df.dtypes)[key]}, words bigint, letters bigint, sentences bigint, nodes array<int>, counts array<int>")
 
 
 def _edges(batch: pa.RecordBatch, damping: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
