@@ -192,13 +192,67 @@ class VectorIndex:
 
         return rows.mapInArrow(probe, "x bigint, y bigint").distinct()
 
-    def similar(self, least: float, radius: int = RADIUS) -> DataFrame:
-        """(x, y, cosine): candidate pairs of vectors whose float cosine is at least `least`."""
+    def near_queries(self, queries: DataFrame, reach: int, keep: int) -> DataFrame:
+        """(x, y): for each query vector of `queries` (vid), from each table the `keep` vectors of least code distance among those whose
+        substrings are within `reach` bits. Queries pass by an index part in small batches; an index part is all that is held."""
+        spark = self.vectors.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        codes = self.codes()
+        index = codes.filter("not probe")
+        asked = codes.join(queries.select("vid").distinct(), "vid", "left_semi").select(*codes.columns).withColumn("probe", F.lit(True))
+        rows = index.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "probe", "sub")
+        masks = [m for m in range(1 << BITS) if m.bit_count() <= reach]
+
+        def best(index: tuple, sub: np.ndarray, vid: np.ndarray, code: list) -> tuple[np.ndarray, np.ndarray]:
+            held, held_vid, held_code = index
+            of, other, apart = [], [], []
+            for mask in masks:
+                low = np.searchsorted(held, sub ^ mask, "left")
+                n = np.searchsorted(held, sub ^ mask, "right") - low
+                if not n.any():
+                    continue
+                i = np.repeat(np.arange(len(sub)), n)
+                j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                of.append(i)
+                other.append(j)
+                apart.append(sum(np.bitwise_count(code[w][i] ^ held_code[w][j]).astype(np.int32) for w in range(CHECK_WORDS)))
+            if not of:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            i, j, d = np.concatenate(of), np.concatenate(other), np.concatenate(apart)
+            order = np.lexsort((held_vid[j], d, i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, np.arange(len(sub)))
+            good = (np.arange(len(i)) - first[i] < keep) & (vid[i] != held_vid[j])
+            return vid[i[good]], held_vid[j[good]]
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, held, index = None, [], None
+            for batch in batches:
+                of, role = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                cols = [batch.column(k).to_numpy() for k in range(2, 4 + CHECK_WORDS)]
+                limits = np.flatnonzero((np.diff(of) != 0) | (np.diff(role.astype(np.int8)) != 0)) + 1
+                for a, b in zip([0, *limits], [*limits, len(of)]):
+                    if of[a] != part:
+                        part, held, index = of[a], [], None
+                    if not role[a]:
+                        held.append([c[a:b].copy() for c in cols])
+                        continue
+                    if index is None:
+                        whole = [np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(2 + CHECK_WORDS)]
+                        index = whole[0], whole[1], [c.view(np.uint64) for c in whole[2:]]
+                    for start in range(a, b, 64):
+                        stop = min(b, start + 64)
+                        x, y = best(index, cols[0][start:stop], cols[1][start:stop], [c[start:stop].view(np.uint64) for c in cols[2:]])
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+        return rows.mapInArrow(probe, "x bigint, y bigint").distinct()
+
+    def rerank(self, near: DataFrame) -> DataFrame:
+        """(x, y, cosine) of pairs (x, y): the float cosine."""
         v = self.vectors.select("vid", "embedding")
-        near = materialize(self.candidates(radius), "near")
         both = near.join(v.withColumnsRenamed({"vid": "x", "embedding": "ex"}), "x").join(v.withColumnsRenamed({"vid": "y", "embedding": "ey"}), "y")
 
-        def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b = batch.column(2), batch.column(3)
                 limits = a.offsets.to_numpy() - a.offsets.to_numpy()[0]
@@ -208,7 +262,23 @@ class VectorIndex:
                 dot, uu, ww = (np.add.reduceat(z, limits[:-1]) for z in (u * w, u * u, w * w))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dot / np.sqrt(uu * ww))], names=["x", "y", "cosine"])
 
-        return both.select("x", "y", "ex", "ey").mapInArrow(rerank, "x bigint, y bigint, cosine double").filter(F.col("cosine") >= least)
+        return both.select("x", "y", "ex", "ey").mapInArrow(cosine, "x bigint, y bigint, cosine double")
+
+    def similar(self, least: float, radius: int = RADIUS) -> DataFrame:
+        """(x, y, cosine): candidate pairs of vectors whose float cosine is at least `least`."""
+        return self.rerank(materialize(self.candidates(radius), "near")).filter(F.col("cosine") >= least)
+
+    def ranked(self, directed: DataFrame, askers: DataFrame, k: int) -> DataFrame:
+        """(model_id, dimensions, document, other, cosine, n): the k nearest documents of each document of `askers` (vid, document), from
+        vector pairs (x, y, cosine) and from shared vectors. Only a vector's k + 1 smallest owners can be among the k nearest."""
+        heads = self.owners.withColumn("n", F.row_number().over(Window.partitionBy("vid").orderBy("document"))).filter(F.col("n") <= k + 1).select("vid", F.col("document").alias("other"))
+        own = askers.select(F.col("vid").alias("x"), "document")
+        across = directed.join(own, "x").join(heads.withColumnRenamed("vid", "y"), "y").select("x", "document", "other", "cosine")
+        within = own.join(heads.withColumnRenamed("vid", "x"), "x").select("x", "document", "other", F.lit(1.0).alias("cosine"))
+        space = self.vectors.select(F.col("vid").alias("x"), "model_id", "dimensions")
+        near = across.unionByName(within).filter("document <> other").join(space, "x").groupBy("model_id", "dimensions", "document", "other").agg(F.round(F.max("cosine"), 12).alias("cosine"))
+        order = Window.partitionBy("model_id", "dimensions", "document").orderBy(F.desc("cosine"), "other")
+        return near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
 
 
 def neighbour_pairs(df: DataFrame, k: int = 5, least: float = 0.9, radius: int = RADIUS) -> DataFrame:
@@ -222,12 +292,22 @@ def neighbour_pairs(df: DataFrame, k: int = 5, least: float = 0.9, radius: int =
     index = VectorIndex(df)
     similar = materialize(index.similar(least, radius), "similar")
     directed = similar.unionByName(similar.select(F.col("y").alias("x"), F.col("x").alias("y"), "cosine"))
-    smallest = Window.partitionBy("vid").orderBy("document")
-    heads = index.owners.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1).select("vid", F.col("document").alias("other"))
-    own = index.owners.select(F.col("vid").alias("x"), "document")
-    across = directed.join(own, "x").join(heads.withColumnRenamed("vid", "y"), "y").select("x", "document", "other", "cosine")
-    within = own.join(heads.withColumnRenamed("vid", "x"), "x").select("x", "document", "other", F.lit(1.0).alias("cosine"))
-    space = index.vectors.select(F.col("vid").alias("x"), "model_id", "dimensions")
-    all_near = across.unionByName(within).filter("document <> other").join(space, "x").groupBy("model_id", "dimensions", "document", "other").agg(F.round(F.max("cosine"), 12).alias("cosine"))
-    ranked = all_near.withColumn("n", F.row_number().over(Window.partitionBy("model_id", "dimensions", "document").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k)
+    ranked = index.ranked(directed, index.owners, k)
     return ranked.select("model_id", "dimensions", F.least("document", "other").alias("doc_a"), F.greatest("document", "other").alias("doc_b")).distinct()
+
+
+#: Bits that a substring may differ in, and vectors kept from a table, for searches without a least cosine.
+REACH, KEEP = 3, 64
+
+
+def nearest_documents(df: DataFrame, k: int = 5, every: int = 50, reach: int = REACH, keep: int = KEEP) -> DataFrame:
+    """(model_id, dimensions, document, rank, other, cosine): the k most similar documents of each document whose id is divisible by `every`,
+    searched among all vectors of its space, ties by the smaller document.
+
+    Rows take part as in `neighbour_pairs`. Approximate: neighbours are often far apart here, so substrings are probed within `reach` bits
+    and each table's `keep` best by code are reranked; the README has the recall measured against brute force."""
+    index = VectorIndex(df)
+    askers = index.owners.filter(F.pmod(F.col("document"), F.lit(every)) == 0)
+    near = materialize(index.near_queries(askers, reach, keep), "near")
+    ranked = index.ranked(index.rerank(near), askers, k)
+    return ranked.select("model_id", "dimensions", "document", F.col("n").alias("rank"), "other", "cosine")

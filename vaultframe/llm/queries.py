@@ -14,6 +14,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf, "document_vectors"), k=5, least=0.9)
 
 
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest of each document whose id is divisible by 50, among all."""
+    return neighbours.nearest_documents(table(spark, sf, "document_vectors"), k=5, every=50)
+
+
 def _tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "document_tags").select("document", F.lower("name").alias("tag"))
 
@@ -95,7 +100,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_groups, p6_strict, p7_ids, p7_decoded,
+        p2_found, p2_neighbours, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_groups, p6_strict, p7_ids, p7_decoded,
         p8_containers, p8_instruction, p8_report, p9_found, p9_levels,
     )
 }
