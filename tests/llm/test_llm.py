@@ -349,3 +349,22 @@ def test_reading_level_edges(spark):
         assert (r["difficulty"] is None) == (r["words"] == 0) and r["graded"] == (r["id"] == 1)
     assert all(r["difficulty"] is None for r in reading.reading_level(df, "id", "body", labels.filter("false"), "who", "g", 3).collect())
     assert reading.reading_level(df.filter("false"), "id", "body", labels, "who", "g", 2).count() == 0
+
+
+def test_nearest_documents_recall(spark):
+    vectors = table(spark, SF.replace("sf0.001", "sf0.01"), "document_vectors")
+    rows = [tuple(r) for r in neighbours.usable(vectors).collect()]
+    got: dict = {}
+    for r in neighbours.nearest_documents(vectors, 5, 10).collect():
+        got.setdefault((r["model_id"], r["dimensions"], r["document"]), set()).add(r["other"])
+    hit = total = 0
+    for space in {r[1:3] for r in rows}:
+        own = [(r[0], np.array(r[3], float)) for r in rows if r[1:3] == space]
+        docs = np.array([x for x, _ in own])
+        x = np.array([v / np.linalg.norm(v) for _, v in own])
+        for i in np.flatnonzero(docs % 10 == 0):
+            order = np.lexsort((docs, -np.round(x @ x[i], 12)))
+            best = list(dict.fromkeys(int(docs[j]) for j in order if docs[j] != docs[i]))[:5]
+            total += len(best)
+            hit += len(set(best) & got.get((*space, int(docs[i])), set()))
+    assert total > 500 and hit >= 0.95 * total
