@@ -160,3 +160,19 @@ def canonical(value) -> str:
     if isinstance(value, float):
         return _number(value)
     return json.dumps(value, ensure_ascii=False)
+
+
+def fields(text: str) -> list[tuple[str, int, int, str]]:
+    """(field, start, stop, style) of each top-level field of a block that reads, in order; offsets in characters of its value. Styles: plain,
+    single, double, literal, folded, flow-sequence, block-sequence, flow-map, block-map, empty."""
+    block = read(text)
+    if block.value is None or yaml is None or not text[block.start : block.stop].strip():
+        return []
+    out = []
+    for key, value in yaml.compose(text[block.start : block.stop], Loader=_LOADER).value:
+        if isinstance(value, yaml.ScalarNode):
+            style = {"'": "single", '"': "double", "|": "literal", ">": "folded"}.get(value.style or "", "plain" if value.value else "empty")
+        else:
+            style = ("flow-" if value.flow_style else "block-") + ("sequence" if isinstance(value, yaml.SequenceNode) else "map")
+        out.append((str(key.value), block.start + value.start_mark.index, block.start + value.end_mark.index, style))
+    return out

@@ -60,14 +60,15 @@ class FeedReader(SimpleDataSourceStreamReader):
         with open(f"{self.base}/CURRENT.json") as f:
             return json.load(f)
 
-    def _rows(self, state: dict) -> list[tuple]:
+    def _rows(self, state: dict, least: int) -> list[tuple]:
+        """Positions from a generation on; the Parquet statistics skip files whose rows are all older."""
         import pyarrow.parquet as pq
 
         if not state["generation"]:
             return []
-        at = f"{self.base}/{state['epoch']}/gen-{state['generation']}"
-        live = [(r["generation"], r["path"], 0, "document", r["content_hash"]) for r in pq.read_table(f"{at}/documents", columns=["generation", "path", "content_hash"]).to_pylist()]
-        dead = [(r["generation"], r["path"], 1, "death", r["last_content_hash"]) for r in pq.read_table(f"{at}/tombstones", columns=["generation", "path", "last_content_hash"]).to_pylist()]
+        at, past = f"{self.base}/{state['epoch']}/gen-{state['generation']}", [("generation", ">=", least)]
+        live = [(r["generation"], r["path"], 0, "document", r["content_hash"]) for r in pq.read_table(f"{at}/documents", columns=["generation", "path", "content_hash"], filters=past).to_pylist()]
+        dead = [(r["generation"], r["path"], 1, "death", r["last_content_hash"]) for r in pq.read_table(f"{at}/tombstones", columns=["generation", "path", "last_content_hash"], filters=past).to_pylist()]
         out, last = [], None
         for g, p, _, kind, h in sorted(live + dead, key=lambda r: r[:3]):
             if (g, p) != last:  # a document outranks a death at one position
@@ -82,7 +83,7 @@ class FeedReader(SimpleDataSourceStreamReader):
         state = self._state()
         if state["epoch"] != start["epoch"]:
             start = {"epoch": state["epoch"], "generation": 0, "path": ""}
-        rows = [r for r in self._rows(state) if (r[0], r[1]) > (start["generation"], start["path"])][: self.page]
+        rows = [r for r in self._rows(state, start["generation"]) if (r[0], r[1]) > (start["generation"], start["path"])][: self.page]
         end = {"epoch": state["epoch"], "generation": rows[-1][0], "path": rows[-1][1]} if rows else start
         return rows, end
 
@@ -91,7 +92,7 @@ class FeedReader(SimpleDataSourceStreamReader):
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([r for r in self._rows(self._state()) if (start["generation"], start["path"]) < (r[0], r[1]) <= (end["generation"], end["path"])])
+        return iter([r for r in self._rows(self._state(), start["generation"]) if (start["generation"], start["path"]) < (r[0], r[1]) <= (end["generation"], end["path"])])
 
     def commit(self, end: dict) -> None:
         pass
