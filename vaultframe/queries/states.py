@@ -263,6 +263,7 @@ SELECT w.target AS subject, count(*) AS findings FROM wiki w JOIN total USING (t
 WHERE regexp_replace(w.target, '^.*/', '') NOT IN (SELECT stem FROM dead) AND regexp_replace({_RED.format('w.target')}, '^.*/', '') NOT IN (SELECT stem FROM dead) GROUP BY 1""",
     "i01_fold": f"WITH {_LOG} SELECT path, kind, seq, frontmatter FROM log",
     "i03_deaths": f"WITH {_LOG} SELECT path, last_content_hash, provenance, generation FROM tombstones WHERE path NOT IN (SELECT path FROM log WHERE kind = 'death') UNION ALL SELECT path, NULL, 'watcher-removal', 999 FROM log WHERE kind = 'death'",
+    "i04_guard": "SELECT path, 'size' AS reason FROM documents WHERE body_offset + strlen(body) <> byte_length",
     "i09_verify": """
 SELECT 'body_hash' AS "check", count(*) FILTER (sha256(body) <> body_hash) AS offenders FROM documents WHERE body IS NOT NULL
 UNION ALL SELECT 'size', count(*) FILTER (body_offset + strlen(body) <> byte_length) FROM documents WHERE body IS NOT NULL
@@ -285,4 +286,4 @@ UNION ALL SELECT 'orphan_tags', count(*) FROM document_tags WHERE document NOT I
     "d11_rewrite": "SELECT document, count(*) AS operations FROM (SELECT DISTINCT document, ordinal FROM links WHERE family = 'wikilink' AND protocol IS NULL AND target = 'house-style') GROUP BY 1",
 }
 
-QUERIES = {k: _rule(k) if k in _RULES else globals()[k] for k in [*ORACLES, "v01_embed", "l03_block_missing", "i04_guard"]}
+QUERIES = {k: _rule(k) if k in _RULES else globals()[k] for k in [*ORACLES, "v01_embed", "l03_block_missing"]}
