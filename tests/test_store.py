@@ -148,3 +148,29 @@ def test_embedding_is_unit_and_repeatable():
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         state = (state ^ (state >> shift)) * factor % 2**64
     assert one[state % 64] > 0
+
+
+def test_open_ladder(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert s.open("v1") == "created" and s.open("v1") == "opened"
+    s.apply(spark.createDataFrame([up(0, "a.md", "1")], CHANGE), 0)
+    epoch = s.state()["epoch"]
+    assert s.open("v1") == "opened" and s.state()["epoch"] == epoch
+    assert s.open("v2") == "rebuilt" and s.state()["epoch"] != epoch and state(s) == []
+
+
+def test_prune_needs_a_walked_root(spark):
+    f = spark.createDataFrame([("c", "w", p, None, None) for p in ("a/x.md", "a/y.md", "b/z.md", "ab/q.md")], "code string, severity string, path string, subject string, detail string")
+    left = findings.prune(f, spark.createDataFrame([("a",)], "root string"), spark.createDataFrame([("a/y.md",)], "path string"))
+    assert sorted(r["path"] for r in left.collect()) == ["a/y.md", "ab/q.md", "b/z.md"]
+    heads = spark.createDataFrame([("t", 2, ["a", "b"]), ("u", 1, ["a", "b"]), ("v", 9, list("abcdef"))], "target string, total bigint, head array<string>")
+    assert sorted(r["target"] for r in findings.refused(heads).collect()) == ["u", "v"]
+
+
+def test_counters_and_bars(spark):
+    from vaultframe.operators import observe
+
+    df, seen = observe.counted(spark.range(10).filter("id > 3"), "r", most=F.max("id"))
+    df.collect()
+    assert seen.get == {"rows": 6, "most": 9}
+    assert not observe.bars(df)["pairwise"] and "Physical Plan" in observe.plan_text(df)

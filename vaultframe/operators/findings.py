@@ -100,6 +100,22 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def refused(heads: DataFrame) -> DataFrame:
+    """Of (target, total, head) rows those that can't be recorded: a head of more than HEAD candidates, or of more than there are."""
+    return heads.filter((F.size("head") > resolve.HEAD) | (F.size("head") > F.col("total")))
+
+
+def prune(findings: DataFrame, walked: DataFrame, accounted: DataFrame) -> DataFrame:
+    """The findings that stay after a clean walk of the roots `walked` (root): those outside them, and those whose path the walk
+    accounted for (path). A root that wasn't walked cleanly isn't in `walked`, so nothing goes by absence alone."""
+    segs = F.split("path", "/")
+    keyed = findings.withColumn("id", F.monotonically_increasing_id())
+    above = keyed.select("id", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.concat_ws("/", F.slice(segs, 1, n))))).alias("root"))
+    inside = above.join(walked.select("root"), "root", "left_semi").select("id").distinct()
+    gone = keyed.join(inside, "id", "left_semi").join(accounted.select("path"), "path", "left_anti").select("id")
+    return keyed.join(gone, "id", "left_anti").drop("id")
+
+
 def class_keys(target: Column) -> Column:
     """The ambiguity classes a suffix target belongs to: 'stem/' of each spelling it probes."""
     return F.array_distinct(F.transform(paths.suffix_forms(target), lambda t: F.concat(F.element_at(F.split(t, "/", -1), -1), F.lit("/"))))

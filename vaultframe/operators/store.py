@@ -114,6 +114,20 @@ class Store:
         finally:
             stream.close()
 
+    def open(self, fingerprint: str) -> str:
+        """'created', 'opened' or 'rebuilt': a store made by other code, or one that can't be read, is discarded for a new epoch, whose
+        cursors start anew."""
+        state = self.state()
+        made = state.get("made_by")
+        if made == fingerprint:
+            try:
+                self.read("documents").limit(1).collect()
+                return "opened"
+            except Exception:  # noqa: BLE001  unreadable files: the vault is the truth, derive again
+                made = "unreadable"
+        self._point({"epoch": uuid.uuid4().hex, "generation": 0, "schema": state["schema"], "made_by": fingerprint})
+        return "created" if made is None and not state["generation"] else "rebuilt"
+
     def read(self, name: str) -> DataFrame:
         state = self.state()
         schema = {"documents": DOCUMENTS, "tombstones": TOMBSTONES}[name]
