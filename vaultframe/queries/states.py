@@ -208,13 +208,13 @@ def _of(code: str, subject: str, detail: str, where: str, source: str = "documen
 
 
 _RULES = {
-    "l05_required": _of("required-field-missing", "'created'", "NULL", f"frontmatter IS NOT NULL AND {_S.format('created')} IS NULL"),
+    "l05_required": _of("required-field-missing", "'created'", "NULL::VARCHAR", f"frontmatter IS NOT NULL AND {_S.format('created')} IS NULL"),
     "l06_allowed": _of("value-not-allowed", "'type'", "v", f"v NOT IN ({', '.join(repr(a) for a in ALLOWED)})", f"(SELECT path, unnest({_strings('type')}) AS v FROM documents)"),
     "l07_types": _of("field-type-invalid", "'due'", _S.format("due"), f"{_S.format('due')} IS NOT NULL AND NOT coalesce(regexp_full_match({_S.format('due')}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST({_S.format('due')} AS DATE) IS NOT NULL, false)"),
     "l08_length": _of("exceeds-max-length", "'title'", "length(v)::VARCHAR", "length(v) > 30", f"(SELECT path, unnest({_strings('title')}) AS v FROM documents)"),
     "l09_forbidden": _of("forbidden-field", "'zip'", _S.format("zip"), f"{_S.format('zip')} IS NOT NULL"),
     "l10_misrouted": _of("document-misrouted", "'task'", "'**/tasks/**'", f"{_S.format('type')} = 'task' AND NOT regexp_matches(path, '^(.*/)?tasks/.*$')"),
-    "l12_unread": _of("frontmatter-parse-failed", "NULL", "frontmatter_diagnostic_count::VARCHAR", "frontmatter IS NULL AND frontmatter_diagnostic_count > 0", severity="error"),
+    "l12_unread": _of("frontmatter-parse-failed", "NULL::VARCHAR", "frontmatter_diagnostic_count::VARCHAR", "frontmatter IS NULL AND frontmatter_diagnostic_count > 0", severity="error"),
 }
 _ALL = "found AS (" + " UNION ALL ".join(f"({q})" for q in _RULES.values()) + ")"
 _SUFFIX = r"suffix AS (SELECT doc_id, path, array_to_string(segs[i:], '/') AS called FROM (SELECT doc_id, path, string_split(regexp_replace(path, '^(.*[^/])\.[^./]*$', '\1'), '/') AS segs FROM documents), LATERAL (SELECT unnest(range(1, len(segs) + 1)) AS i))"
@@ -281,7 +281,7 @@ UNION ALL SELECT 'orphan_tags', count(*) FROM document_tags WHERE document NOT I
     "m09_batches": "WITH r AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM tombstones) SELECT root, false AS gone FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE starts_with(a.root, b.root || '/'))",
     "q01_repair": f"WITH {_ALL} SELECT code, CASE code WHEN 'required-field-missing' THEN 'add_frontmatter' WHEN 'forbidden-field' THEN 'remove_frontmatter' WHEN 'document-misrouted' THEN 'move_document' WHEN 'frontmatter-parse-failed' THEN 'skip: needs a person' ELSE 'set_frontmatter' END AS operation, count(*) AS findings FROM found GROUP BY 1, 2",
     "d08_new": "SELECT path, CASE WHEN path IN (SELECT path FROM documents) THEN 'exists' END AS refusal FROM tombstones",
-    "d09_move": f"WITH {_naming()} SELECT d.path, 'archive/' || d.path AS \"to\", count(n.path) AS planned, 0 AS skipped, count(DISTINCT n.document) AS files, NULL AS refusal FROM documents d LEFT JOIN naming n ON n.path = d.path GROUP BY d.path",
+    "d09_move": f"WITH {_naming()} SELECT d.path, 'archive/' || d.path AS \"to\", count(n.path) AS planned, 0::BIGINT AS skipped, count(DISTINCT n.document) AS files, NULL::VARCHAR AS refusal FROM documents d LEFT JOIN naming n ON n.path = d.path GROUP BY d.path",
     "d10_delete": f"WITH {_naming()} SELECT d.path, count(n.path) AS backlinks, count(DISTINCT n.document) AS files, count(n.path) > 0 AS refused FROM documents d LEFT JOIN naming n ON n.path = d.path GROUP BY d.path",
     "d11_rewrite": "SELECT document, count(*) AS operations FROM (SELECT DISTINCT document, ordinal FROM links WHERE family = 'wikilink' AND protocol IS NULL AND target = 'house-style') GROUP BY 1",
 }

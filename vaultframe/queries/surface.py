@@ -174,7 +174,7 @@ ORACLES = {
     "x06_rendered": "SELECT target, array_to_string(list_transform(string_split(target, '/'), lambda s: CASE WHEN s = '' OR regexp_full_match(s, '\\.+') THEN '�' || s ELSE s END), '/') AS rendered FROM (SELECT DISTINCT target FROM links WHERE protocol IS NULL)",
     "x08_normalized": f"SELECT target, {_NORMAL} AS normal FROM (SELECT DISTINCT target FROM links WHERE protocol IS NULL AND family = 'markdown' AND target <> '')",
     "x14_unresolved": f"WITH {_states()._SUFFIX}, {_states()._WIKI}, t AS (SELECT w.target, (SELECT count(*) FROM suffix s WHERE s.called = w.target OR s.called = {_states()._RED.format('w.target')}) AS total FROM (SELECT DISTINCT target FROM wiki) w) SELECT CASE WHEN total = 0 THEN 'target-missing' WHEN total > 1 THEN 'ambiguous' ELSE 'resolved' END AS reason, count(*) AS links FROM wiki JOIN t USING (target) GROUP BY 1",
-    "t03_drift": "SELECT 'stored' AS side, 0 AS rows UNION ALL SELECT 'derived', 0",
+    "t03_drift": "SELECT 'stored' AS side, 0::BIGINT AS rows UNION ALL SELECT 'derived', 0::BIGINT",
     "l15_exit": f"WITH {_states()._ALL} SELECT max((severity = 'error')::INT) AS exit FROM found",
     "m02_scoped": "SELECT CASE WHEN t.path IS NULL THEN 'derive' WHEN d.path IS NULL THEN 'prune' WHEN d.content_hash <> coalesce(t.last_content_hash, '') THEN 're-derive' ELSE 'keep' END AS action, count(*) AS paths FROM (SELECT * FROM documents WHERE starts_with(path, 'delta-vault/')) d FULL JOIN (SELECT * FROM tombstones WHERE starts_with(path, 'delta-vault/')) t ON d.path = t.path GROUP BY 1",
     "m04_quarantine": "SELECT path, 0 AS seq, 'death' AS kind, 'quarantine' AS provenance FROM documents WHERE text IS NULL",
