@@ -1,7 +1,7 @@
 """DuckDB SQL that must give what the queries of this subpackage give."""
 
 _SHINGLES = r"""
-WITH worded AS (
+WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE body IS NOT NULL
 ), shingle AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + {last}], ' ') AS s
@@ -35,8 +35,16 @@ WITH v AS (
 
 ORACLES = {
     "p2_found": _VECTORS + " SELECT DISTINCT model_id, dimensions, least(d, o) AS doc_a, greatest(d, o) AS doc_b FROM ranked WHERE n <= 5 AND c >= 0.9",
+    "p6_groups": _SHINGLES.format(last=2, words=50) + """, pair AS (SELECT doc_a, doc_b, c, x.n AS n_a, y.n AS n_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7),
+edge AS (SELECT doc_a AS a, doc_b AS b FROM pair UNION ALL SELECT doc_b, doc_a FROM pair),
+reach AS (SELECT doc_id, doc_id AS other FROM size UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT s.doc_id, least(s.doc_id, (SELECT min(doc_a) FROM pair WHERE doc_b = s.doc_id AND c = n_a AND c = n_b)) AS class_id, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS group_id FROM size s""",
     "p3_found": _TAGS + " SELECT tag_a, tag_b FROM counted WHERE together >= 5 AND together * docs >= 4 * n_a * n_b",
     "p3_counts": _TAGS + " SELECT tag_a, tag_b, together, n_a, n_b, round(together * docs / (n_a * n_b), 6) AS lift FROM counted WHERE together >= 2",
     "p6_found": _SHINGLES.format(last=2, words=50) + " SELECT doc_a, doc_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7",
+    "p6_strict": _SHINGLES.format(last=4, words=5) + """, pair AS (SELECT doc_a, doc_b, c, x.n AS n_a, y.n AS n_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b),
+copies AS (SELECT doc_b FROM pair WHERE c = n_a AND c = n_b)
+SELECT doc_a, doc_b, round(c / (n_a + n_b - c), 6) AS similarity FROM pair
+WHERE c / (n_a + n_b - c) >= 0.8 AND doc_a NOT IN (SELECT doc_b FROM copies) AND doc_b NOT IN (SELECT doc_b FROM copies)""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
