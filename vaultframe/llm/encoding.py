@@ -108,8 +108,8 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
                 offsets[1:-1] = np.cumsum(counts)
                 offsets[-1] = offsets[-2]
                 last = np.arange(b - a + 1) == b - a
-                word_offsets = np.where(last, 0, 0)
-                word_offsets = np.append(word_offsets, len(words)).astype(np.int32)
+                word_offsets = np.zeros(b - a + 2, np.int32)
+                word_offsets[-1] = len(words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(b - a + 1, block)),

@@ -8,6 +8,7 @@ packed apart: a group wastes at most about its last container.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,6 @@ GROUP_ITEMS = 25_000
 
 def token_sizes(df: DataFrame, key: str, text: str, loss_from: Column | None = None, vocabulary: str | None = None) -> DataFrame:
     """(key, tokens, loss): each text's tokens, and those that reach beyond byte `loss_from` (by default all) and so bear loss."""
-    import os
-
     ranks = encoding.read_ranks(vocabulary or os.path.join(encoding.TOKENIZERS, encoding.VOCABULARY))
     widths = np.zeros(max(ranks.values()) + 1, np.int64)
     for b, i in ranks.items():

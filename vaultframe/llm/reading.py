@@ -125,7 +125,6 @@ def reading_level(df: DataFrame, key: str, text: str, labels: DataFrame, label_k
     clamp = labels.filter(F.col(grade).isNotNull()).groupBy(F.col(label_key).alias("doc")).agg(F.avg(F.col(grade).cast("double")).alias("grade"))
     facts = materialize(features(df, key, text).join(clamp, "doc", "left"), "reading")
     graph = facts.select("words", "letters", "sentences", "nodes", "counts", "grade").filter("words > 0")
-    present = np.ones(_NODES)
 
     def frequency(batch: pa.RecordBatch) -> np.ndarray:
         nodes = batch.column(0).flatten().to_numpy()
@@ -134,7 +133,7 @@ def reading_level(df: DataFrame, key: str, text: str, labels: DataFrame, label_k
     seen = _summed(graph.select("nodes"), frequency, _NODES + 1)
     damping = np.log(1 + seen[-1] / np.maximum(seen[:-1], 1))
     mean = facts.agg(F.avg("grade")).collect()[0][0]
-    scores = present * (0.0 if mean is None else mean)
+    scores = np.full(_NODES, 0.0 if mean is None else mean)
     for _ in range(iterations if mean is not None else 0):
         state = spark.sparkContext.broadcast((scores, damping))
 
