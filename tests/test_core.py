@@ -211,3 +211,12 @@ def test_whole_tables_agree_with_their_texts(spark):
         got = parse.facts(parsed, "doc_id", name)
         want = table(spark, SF, of).select(*got.columns).distinct()
         assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_spread_only_touches_narrow_scans(spark):
+    from vaultframe.session import spread
+
+    docs = table(spark, SF, "documents").select("doc_id")
+    assert docs.rdd.getNumPartitions() == 1 and spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = docs.groupBy("doc_id").count()
+    assert spread(grouped) is grouped

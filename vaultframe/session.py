@@ -31,6 +31,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its scan has too few partitions to use them, as a single small file has; otherwise untouched. For scans
     that feed an Arrow pass, whose cost is in Python."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # its partitions are known only by running it
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
