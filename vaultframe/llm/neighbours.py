@@ -240,8 +240,8 @@ class VectorIndex:
                     if index is None:
                         whole = [np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(2 + CHECK_WORDS)]
                         index = whole[0], whole[1], [c.view(np.uint64) for c in whole[2:]]
-                    for start in range(a, b, 64):
-                        stop = min(b, start + 64)
+                    for start in range(a, b, 512):
+                        stop = min(b, start + 512)
                         x, y = best(index, cols[0][start:stop], cols[1][start:stop], [c[start:stop].view(np.uint64) for c in cols[2:]])
                         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
@@ -297,7 +297,7 @@ def neighbour_pairs(df: DataFrame, k: int = 5, least: float = 0.9, radius: int =
 
 
 #: Bits that a substring may differ in, and vectors kept from a table, for searches without a least cosine.
-REACH, KEEP = 3, 64
+REACH, KEEP = 3, 32
 
 
 def nearest_documents(df: DataFrame, k: int = 5, every: int = 50, reach: int = REACH, keep: int = KEEP) -> DataFrame:
