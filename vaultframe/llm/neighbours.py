@@ -297,7 +297,7 @@ def neighbour_pairs(df: DataFrame, k: int = 5, least: float = 0.9, radius: int =
 
 
 #: Bits that a substring may differ in, and vectors kept from a table, for searches without a least cosine.
-REACH, KEEP = 3, 32
+REACH, KEEP = 3, 64
 
 
 def nearest_documents(df: DataFrame, k: int = 5, every: int = 50, reach: int = REACH, keep: int = KEEP) -> DataFrame:
