@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import differences
 from tests.conftest import SF
-from vaultframe.llm import queries
+from vaultframe.llm import queries, sql
 
 COLUMNS = {
     "p2_found": {"model_id", "dimensions", "doc_a", "doc_b"}, "p3_found": {"tag_a", "tag_b"}, "p4_found": {"doc_id", "block_offset"},
@@ -27,6 +28,13 @@ def test_runs_whole(spark, name):
     assert df.count() >= 0
 
 
+def test_surprise_has_every_pair_that_shares_a_document(spark):
+    whole = sql._TAGS + " SELECT tag_a, tag_b, together, n_a, n_b, round(together * docs / (n_a * n_b), 6) AS lift FROM counted"
+    got = queries.p3_surprise(spark, SF).select("tag_a", "tag_b", "together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    assert got.filter("together = 1").count() > 0
+    assert differences(got, whole, SF) == ""
+
+
 def test_nothing_else_imports_the_subpackage():
     from pathlib import Path
 

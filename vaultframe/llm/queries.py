@@ -28,13 +28,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
-def p3_surprise(spark: SparkSession, sf: str) -> DataFrame:
-    found = cooccurrence.associations(_tags(spark, sf), "document", "tag", min_count=2)
+def _associations(spark: SparkSession, sf: str, min_count: int) -> DataFrame:
+    found = cooccurrence.associations(_tags(spark, sf), "document", "tag", min_count=min_count)
     return found.withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
 
 
+def p3_surprise(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of tags that share a document, those that share only one included."""
+    return _associations(spark, sf, min_count=1)
+
+
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return p3_surprise(spark, sf).select("tag_a", "tag_b", "together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    """Of pairs that share two documents or more, as the SQL has it; p3_surprise has all."""
+    return _associations(spark, sf, min_count=2).select("tag_a", "tag_b", "together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
