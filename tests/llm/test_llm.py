@@ -368,3 +368,27 @@ def test_nearest_documents_recall(spark):
             total += len(best)
             hit += len(set(best) & got.get((*space, int(docs[i])), set()))
     assert total > 500 and hit >= 0.9 * total  # the bound the operator promises
+
+
+def test_nearest_documents_of_a_crowd_are_exact(spark):
+    """More nearly equal, distinct vectors than any fixed number kept, and one vector with many owners."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(16)
+    crowd = [(d, (centre + 1e-3 * rng.standard_normal(16)).astype(np.float32)) for d in range(1500)]
+    rows = crowd + [(d, crowd[3][1]) for d in range(2000, 2040)] + [(d, rng.standard_normal(16).astype(np.float32)) for d in range(3000, 3100)]
+    rows += [(50, rows[-1][1]), (7, crowd[50][1])]  # documents with two vectors
+    df = spark.createDataFrame([(d, "m", 16, v.tolist()) for d, v in rows], "document bigint, model_id string, dimensions int, embedding array<float>")
+    got: dict = {}
+    for r in neighbours.nearest_documents(df, 5, 50).orderBy("document", "rank").collect():
+        got.setdefault(r["document"], []).append((r["other"], r["cosine"]))
+    docs = np.array([d for d, _ in rows])
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for d in {int(d) for d in docs if d % 50 == 0}:
+        best: dict = {}
+        for i in np.flatnonzero(docs == d):
+            for o, c in zip(docs.tolist(), np.round(x @ x[i], 12)):
+                if o != d:
+                    best[o] = max(best.get(o, -2), c)
+        assert [o for o, _ in got.pop(d)] == [o for _, o in sorted((-c, o) for o, c in best.items())[:5]]
+    assert not got

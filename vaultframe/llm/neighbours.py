@@ -8,19 +8,21 @@
    sorted substrings, so a vector is one row for each table, not one for each probe.
 4. Pairs whose codes are further apart than RADIUS of the first CHECK bits are dropped, the rest are reranked by their float cosine.
 
-Only the rotations are fitted on a sample; every vector is coded, indexed and probed.
+Only the rotations are fitted on a sample; every vector is coded, indexed and probed. `nearest_documents` has no least cosine and uses no
+codes: it compares its queries with all vectors, block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.session import materialize
+from vaultframe.session import materialize, skew_join, spread
 
 TABLES, BITS = 20, 16
 CHECK_WORDS = 4
@@ -63,6 +65,40 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select("document", "model_id", "dimensions", F.col("embedding").cast("array<float>").alias("embedding")).filter(right).filter(good)
 
 
+#: Queries that one broadcast holds, in bytes, and the rows of either side of one block of products.
+ROUND_BYTES, BLOCK_ROWS = 8_000_000, 2048
+
+
+def keep_best(cosines: np.ndarray, others: np.ndarray, found: np.ndarray, docs: np.ndarray) -> None:
+    """Puts `found` (a row for each query, a column for each of the ascending `docs`) among each query's best so far, in place: `cosines`
+    (rounded to 12 places, -inf where there is none yet) descending, `others` ascending among ties, no document twice."""
+    k = cosines.shape[1]
+    starts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+    if len(starts) < len(docs):
+        found, docs = np.maximum.reduceat(found, starts, axis=1), docs[starts]
+    floor = cosines[:, -1]
+    if np.isneginf(floor).any() and found.shape[1] > k:
+        floor = np.maximum(floor, np.partition(found, found.shape[1] - k, axis=1)[:, -k])
+    i, j = np.nonzero(found >= floor[:, None] - 2e-12)
+    if not len(i):
+        return
+    touched, at = np.unique(i, return_inverse=True)
+    old_at, old_k = np.nonzero(cosines[touched] > -np.inf)
+    row = np.concatenate((old_at, at))
+    other = np.concatenate((others[touched][old_at, old_k], docs[j]))
+    cosine = np.concatenate((cosines[touched][old_at, old_k], np.round(found[i, j], 12)))
+    order = np.lexsort((-cosine, other, row))
+    row, other, cosine = row[order], other[order], cosine[order]
+    once = np.concatenate(([True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])))
+    row, other, cosine = row[once], other[once], cosine[once]
+    order = np.lexsort((other, -cosine, row))
+    row, other, cosine = row[order], other[order], cosine[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    good = place < k
+    cosines[touched[row[good]], place[good]] = cosine[good]
+    others[touched[row[good]], place[good]] = other[good]
+
+
 class VectorIndex:
     """Distinct usable vectors (`vectors`: vid, model_id, dimensions, embedding), who has them (`owners`: vid, document) and the learned rotations."""
 
@@ -76,9 +112,9 @@ class VectorIndex:
         self.owners = materialize(rows.select(*same, "document").distinct().join(self.vectors.select(*same, "vid"), same).select("vid", "document"), "owners")
         self.sizes = {(r["model_id"], r["dimensions"]): r["count"] for r in self.vectors.groupBy("model_id", "dimensions").count().collect()}
         self.spaces = {s: i for i, s in enumerate(sorted(self.sizes))}
-        self.rotations = self._learn()
 
-    def _learn(self) -> dict[tuple, np.ndarray]:
+    @cached_property
+    def rotations(self) -> dict[tuple, np.ndarray]:
         """One bounded sample for each space, by the order of the vectors' hashes; fitted on the driver. Spaces are as many as embedding models."""
         first = Window.partitionBy("model_id", "dimensions").orderBy("h", "g")
         share = F.lit(None).cast("double")
@@ -192,60 +228,52 @@ class VectorIndex:
 
         return rows.mapInArrow(probe, "x bigint, y bigint").distinct()
 
-    def near_queries(self, queries: DataFrame, reach: int, keep: int) -> DataFrame:
-        """(x, y): for each query vector of `queries` (vid), from each table the `keep` vectors of least code distance among those whose
-        substrings are within `reach` bits. Queries pass by an index part in small batches; an index part is all that is held."""
+    def nearest(self, askers: DataFrame, k: int) -> DataFrame:
+        """(model_id, dimensions, x, near): for each vector that `askers` (vid) name, the k distinct documents of greatest cosine among all of its
+        space, ties by the smaller document, as (other, cosine). Exact: every vector is compared with every query by float64 products, block by
+        block. Queries go out in rounds of ROUND_BYTES, so that a broadcast doesn't grow; vectors aren't shuffled."""
         spark = self.vectors.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        codes = self.codes()
-        index = codes.filter("not probe")
-        asked = codes.join(queries.select("vid").distinct(), "vid", "left_semi").select(*codes.columns).withColumn("probe", F.lit(True))
-        rows = index.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "probe", "sub")
-        masks = [m for m in range(1 << BITS) if m.bit_count() <= reach]
-
-        def best(index: tuple, sub: np.ndarray, vid: np.ndarray, code: list) -> tuple[np.ndarray, np.ndarray]:
-            held, held_vid, held_code = index
-            of, other, apart = [], [], []
-            for mask in masks:
-                low = np.searchsorted(held, sub ^ mask, "left")
-                n = np.searchsorted(held, sub ^ mask, "right") - low
-                if not n.any():
-                    continue
-                i = np.repeat(np.arange(len(sub)), n)
-                j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                of.append(i)
-                other.append(j)
-                apart.append(sum(np.bitwise_count(code[w][i] ^ held_code[w][j]).astype(np.int32) for w in range(CHECK_WORDS)))
-            if not of:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            i, j, d = np.concatenate(of), np.concatenate(other), np.concatenate(apart)
-            order = np.lexsort((held_vid[j], d, i))
-            i, j = i[order], j[order]
-            first = np.searchsorted(i, np.arange(len(sub)))
-            good = (np.arange(len(i)) - first[i] < keep) & (vid[i] != held_vid[j])
-            return vid[i[good]], held_vid[j[good]]
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, held, index = None, [], None
+        heads = self.owners.withColumn("n", F.row_number().over(Window.partitionBy("vid").orderBy("document"))).filter(F.col("n") <= k)
+        held = materialize(heads.select("vid", F.col("document").cast("bigint").alias("other")).join(self.vectors, "vid").select("model_id", "dimensions", "other", "embedding"), "held")
+        queries = materialize(self.vectors.join(askers.select("vid").distinct(), "vid", "left_semi").select("vid", "model_id", "dimensions", "embedding"), "queries")
+        rounds = max(1, -(-4 * (queries.agg(F.sum("dimensions")).first()[0] or 0) // ROUND_BYTES))
+        parts = [self._round(held, queries.filter(F.pmod(F.xxhash64("vid"), F.lit(rounds)) == r).toArrow(), k) for r in range(rounds)]
+        best = reduce(DataFrame.unionByName, parts).groupBy("x", "other").agg(F.max("cosine").alias("cosine"))
+        first = best.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k)
+        lists = first.groupBy("x").agg(F.collect_list(F.struct("other", "cosine")).alias("near"))
+        return lists.join(queries.select(F.col("vid").alias("x"), "model_id", "dimensions"), "x")
+
+    def _round(self, held: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+        """(x, other, cosine): of each partition of `held`, each query's k best documents."""
+        names, vids = list(zip(asked["model_id"].to_pylist(), asked["dimensions"].to_pylist())), asked["vid"].to_numpy()
+        sought = {}
+        for space in set(names):
+            at = np.flatnonzero([n == space for n in names])
+            sought[space] = vids[at], asked["embedding"].combine_chunks().take(pa.array(at)).flatten().to_numpy().reshape(len(at), space[1])
+        shared = held.sparkSession.sparkContext.broadcast(sought)
+
+        def unit(x: np.ndarray) -> np.ndarray:
+            x = x.astype(np.float64)
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spaces = {s: (v, unit(q), np.full((len(v), k), -np.inf), np.zeros((len(v), k), np.int64)) for s, (v, q) in shared.value.items()}
             for batch in batches:
-                of, role = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-                cols = [batch.column(k).to_numpy() for k in range(2, 4 + CHECK_WORDS)]
-                limits = np.flatnonzero((np.diff(of) != 0) | (np.diff(role.astype(np.int8)) != 0)) + 1
-                for a, b in zip([0, *limits], [*limits, len(of)]):
-                    if of[a] != part:
-                        part, held, index = of[a], [], None
-                    if not role[a]:
-                        held.append([c[a:b].copy() for c in cols])
-                        continue
-                    if index is None:
-                        whole = [np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(2 + CHECK_WORDS)]
-                        index = whole[0], whole[1], [c.view(np.uint64) for c in whole[2:]]
-                    for start in range(a, b, 512):
-                        stop = min(b, start + 512)
-                        x, y = best(index, cols[0][start:stop], cols[1][start:stop], [c[start:stop].view(np.uint64) for c in cols[2:]])
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
-
-        return rows.mapInArrow(probe, "x bigint, y bigint").distinct()
+                named = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                docs = batch.column(2).to_numpy()
+                for space, (_, q, cosines, others) in spaces.items():
+                    at = np.flatnonzero([n == space for n in named])
+                    at = at[np.argsort(docs[at], kind="stable")]
+                    for low in range(0, len(at), BLOCK_ROWS):
+                        rows = at[low : low + BLOCK_ROWS]
+                        x = unit(batch.column(3).take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), space[1]))
+                        for b in range(0, len(q), BLOCK_ROWS):
+                            keep_best(cosines[b : b + BLOCK_ROWS], others[b : b + BLOCK_ROWS], q[b : b + BLOCK_ROWS] @ x.T, docs[rows])
+            for v, _, cosines, others in spaces.values():
+                there = cosines > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(v[:, None], there.shape)[there]), pa.array(others[there]), pa.array(cosines[there])], names=["x", "other", "cosine"])
+
+        return spread(held).mapInArrow(scan, "x bigint, other bigint, cosine double")
 
     def rerank(self, near: DataFrame) -> DataFrame:
         """(x, y, cosine) of pairs (x, y): the float cosine."""
@@ -296,18 +324,17 @@ def neighbour_pairs(df: DataFrame, k: int = 5, least: float = 0.9, radius: int =
     return ranked.select("model_id", "dimensions", F.least("document", "other").alias("doc_a"), F.greatest("document", "other").alias("doc_b")).distinct()
 
 
-#: Bits that a substring may differ in, and vectors kept from a table, for searches without a least cosine.
-REACH, KEEP = 3, 64
-
-
-def nearest_documents(df: DataFrame, k: int = 5, every: int = 50, reach: int = REACH, keep: int = KEEP) -> DataFrame:
+def nearest_documents(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(model_id, dimensions, document, rank, other, cosine): the k most similar documents of each document whose id is divisible by `every`,
     searched among all vectors of its space, ties by the smaller document.
 
-    Rows take part as in `neighbour_pairs`. Approximate: neighbours are often far apart here, so substrings are probed within `reach` bits
-    and each table's `keep` best by code are reranked; the README has the recall measured against brute force."""
+    Rows take part as in `neighbour_pairs`. Exact, whatever the vectors are like: neighbours are often far apart here and crowds have equal
+    codes, so no code chooses candidates. The work is the queries' number times the vectors'."""
     index = VectorIndex(df)
     askers = index.owners.filter(F.pmod(F.col("document"), F.lit(every)) == 0)
-    near = materialize(index.near_queries(askers, reach, keep), "near")
-    ranked = index.ranked(index.rerank(near), askers, k)
+    lists = index.nearest(askers, k + 1)  # its own document is one of them
+    near = skew_join(askers.select(F.col("vid").alias("x"), "document"), lists, "x", "inner").select("model_id", "dimensions", "document", F.explode("near").alias("near"))
+    best = near.filter("document <> near.other").groupBy("model_id", "dimensions", "document", "near.other").agg(F.max("near.cosine").alias("cosine"))
+    order = Window.partitionBy("model_id", "dimensions", "document").orderBy(F.desc("cosine"), "other")
+    ranked = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
     return ranked.select("model_id", "dimensions", "document", F.col("n").alias("rank"), "other", "cosine")
