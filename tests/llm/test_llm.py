@@ -72,6 +72,19 @@ def test_near_duplicates_are_exact(spark, width, least):
     assert empty.expanded().count() == 0 and empty.groups().count() == 0
 
 
+@pytest.mark.parametrize("width,least", [(3, 0.7), (5, 0.8)])
+def test_every_text_has_a_class_and_its_links(spark, width, least):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    texts = {1: long, 2: long.upper(), 3: long + " more", 4: "Short note", 5: "short, NOTE!", 6: "other note", 7: "", 8: "", 9: "--", 10: None, 11: None, 12: "alone with five words here", 13: "a b c d e f", 14: "A-b c d e f"}
+    want = brute_pairs([(i, t) for i, t in texts.items()], width, least, 1) | {(4, 5), (7, 8)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, t string")
+    got = {r["doc"]: r for r in neardup.every_text(df, "id", "t", width, least).collect()}
+    assert sorted(got) == sorted(texts)
+    assert {i: r["links"] for i, r in got.items()} == {i: sum(i in p for p in want) for i in texts}
+    assert {i: r["rep"] for i, r in got.items()} == {i: {2: 1, 5: 4, 8: 7, 14: 13}.get(i, i) for i in texts}
+    assert {i: r["grp"] for i, r in got.items()} == {i: {2: 1, 3: 1, 5: 4, 8: 7, 14: 13}.get(i, i) for i in texts}
+
+
 def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(70)] + [(100, 101), (101, 102), (100, 102)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.compare import differences
 from tests.conftest import SF
 from vaultframe.llm import queries, sql
+from vaultframe.session import table
 
 COLUMNS = {
     "p2_found": {"model_id", "dimensions", "doc_a", "doc_b"}, "p3_found": {"tag_a", "tag_b"}, "p4_found": {"doc_id", "block_offset"},
@@ -35,6 +36,13 @@ def test_surprise_has_every_pair_that_shares_a_document(spark):
     assert differences(got, whole, SF) == ""
 
 
+@pytest.mark.parametrize("name", ["p6_documents"])
+def test_every_document_is_classed(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    assert set(got.columns) == {"doc_id", "class_id", "group_id", "links"}
+    assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in table(spark, SF, "documents").select("doc_id").collect())
+
+
 def test_nothing_else_imports_the_subpackage():
     from pathlib import Path
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import kernel
@@ -160,6 +160,33 @@ class NearDuplicates:
         return self.members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc", "rep", F.coalesce("label", "rep").alias("grp"))
 
 
+def _alike(text: Column, width: int) -> Column:
+    """What texts too short for a shingle are classed by: their lower-cased words, or the unchanged text where there is no word."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    few = F.size(words) < width
+    return F.when(few & (F.size(words) > 0), F.concat(F.lit("w"), F.array_join(words, " "))).when(few, F.concat(F.lit("t"), text))
+
+
+def every_text(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc, rep, grp, links): each row of `df` (unique `key`) with its class of equal texts, its connected group, and with how many other
+    rows it is linked: those of its class and of the classes similar to it.
+
+    The join is `near_duplicates` with no least number of words. Texts too short for a shingle are classed by equal words, those without a
+    word by the unchanged text. A null text is alone."""
+    near = near_duplicates(df, key, text, width, threshold, min_words=1)
+    held = near.groups()
+    rest = df.select(F.col(key).alias("doc"), F.sha2(F.encode(_alike(F.col(text), width), "utf-8"), 256).alias("alike")).join(held.select("doc"), "doc", "left_anti")
+    short = rest.filter("alike is not null")
+    short = skew_join(short, short.groupBy("alike").agg(F.min("doc").alias("rep")), "alike", "inner").select("doc", "rep", F.col("rep").alias("grp"))
+    alone = rest.filter("alike is null").select("doc", F.col("doc").alias("rep"), F.col("doc").alias("grp"))
+    rows = materialize(held.unionByName(short).unionByName(alone), "classed")
+    sizes = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("rows"))
+    both = near.pairs.select("a", "b").unionByName(near.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("rows").alias("across"))
+    links = sizes.join(across, "rep", "left").select("rep", (F.col("rows") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    return skew_join(rows, links, "rep", "inner").select("doc", "rep", "grp", "links")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 1, depth: int = 4) -> NearDuplicates:
     """Texts whose sets of distinct runs of `width` lower-cased words have an intersection of at least `threshold` of their union.
 

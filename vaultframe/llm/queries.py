@@ -59,8 +59,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf).expanded()
 
 
+_CLASSED = {"doc": "doc_id", "rep": "class_id", "grp": "group_id"}
+
+
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, however short, by the measure of p6_found: class, group and number of linked documents."""
+    return neardup.every_text(table(spark, sf, "documents"), "doc_id", "body", width=3, threshold=0.7).withColumnsRenamed(_CLASSED)
+
+
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _near(spark, sf).groups().withColumnsRenamed({"doc": "doc_id", "rep": "class_id", "grp": "group_id"})
+    """Of bodies of 50 words or more, as the SQL has it; p6_documents has all."""
+    return _near(spark, sf).groups().withColumnsRenamed(_CLASSED)
 
 
 def p6_strict(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +115,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_neighbours, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_groups, p6_strict, p7_ids, p7_decoded,
+        p2_found, p2_neighbours, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_documents, p6_groups, p6_strict, p7_ids, p7_decoded,
         p8_containers, p8_instruction, p8_report, p9_found, p9_levels,
     )
 }
