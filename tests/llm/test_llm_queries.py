@@ -36,7 +36,7 @@ def test_surprise_has_every_pair_that_shares_a_document(spark):
     assert differences(got, whole, SF) == ""
 
 
-@pytest.mark.parametrize("name", ["p6_documents"])
+@pytest.mark.parametrize("name", ["p6_documents", "p6_strict_documents"])
 def test_every_document_is_classed(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert set(got.columns) == {"doc_id", "class_id", "group_id", "links"}

@@ -77,6 +77,11 @@ def p6_strict(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), "doc_id", "body").pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
 
 
+def p6_strict_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document by the measure of p6_strict, the copies that p6_strict leaves out included."""
+    return neardup.every_text(table(spark, sf, "documents"), "doc_id", "body").withColumnsRenamed(_CLASSED)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -115,7 +120,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_neighbours, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_documents, p6_groups, p6_strict, p7_ids, p7_decoded,
+        p2_found, p2_neighbours, p3_found, p3_surprise, p3_counts, p4_found, p4_pieces, p6_found, p6_documents, p6_groups, p6_strict, p6_strict_documents, p7_ids, p7_decoded,
         p8_containers, p8_instruction, p8_report, p9_found, p9_levels,
     )
 }
