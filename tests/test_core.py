@@ -220,3 +220,18 @@ def test_spread_only_touches_narrow_scans(spark):
     assert docs.rdd.getNumPartitions() == 1 and spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     grouped = docs.groupBy("doc_id").count()
     assert spread(grouped) is grouped
+
+
+def test_missing_blocks_across_documents(spark):
+    from vaultframe.operators import findings
+
+    docs = spark.createDataFrame([(1, "a/one.md"), (2, "a/two.md"), (3, "b/two.md")], "doc_id bigint, path string")
+    blocks = spark.createDataFrame([(1, "x"), (3, "y")], "document bigint, block_id string")
+    rows = [
+        (1, 0, "wikilink", None, "", "x"), (1, 1, "wikilink", None, "", "gone"), (2, 0, "wikilink", None, "one", "x"), (2, 1, "wikilink", None, "one", "gone"),
+        (1, 2, "wikilink", None, "two", "y"), (1, 3, "wikilink", None, "a/two", "y"), (1, 4, "wikilink", None, "nowhere", "x"), (2, 2, "markdown", None, "one.md", "x"),
+        (2, 3, "markdown", None, "one.md", "gone"), (2, 4, "markdown", "https", "one.md", "gone"), (2, 1, "wikilink", None, "one", "gone"), (2, 5, "wikilink", None, "one", None),
+    ]
+    links = spark.createDataFrame([(*r, None) for r in rows], "document bigint, ordinal int, family string, protocol string, target string, block_ref string, anchor string")
+    got = sorted((r["path"], r["subject"], r["detail"]) for r in findings.block_missing(links, blocks, docs).collect())
+    assert got == [("a/one.md", "", "gone"), ("a/one.md", "a/two", "y"), ("a/two.md", "one", "gone"), ("a/two.md", "one.md", "gone")]

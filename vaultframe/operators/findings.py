@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.operators import orphans, paths, predicates as P, resolve
+from vaultframe.session import skew_join
 
 COLUMNS = ["code", "severity", "path", "subject", "detail"]
 
@@ -64,10 +65,25 @@ def links_missing(links: DataFrame, documents: DataFrame, headings: DataFrame) -
 
 
 def block_missing(links: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
-    """link-block-missing: a link to a block of its own document that no block id answers."""
-    own = links.filter("protocol is null and target = '' and block_ref is not null").dropDuplicates(["document", "ordinal"])
-    lost = own.join(blocks.select("document", F.col("block_id").alias("block_ref")), ["document", "block_ref"], "left_anti")
-    return _finding(lost.join(documents.select(F.col("doc_id").alias("document"), "path"), "document"), "link-block-missing", F.lit(""), F.col("block_ref"))
+    """link-block-missing: a link, of either family, whose target names documents of which none has the block it asks for. An empty target
+    is the link's own document. A target that names nothing is link-target-missing instead."""
+    asking = links.filter("protocol is null and block_ref is not null").dropDuplicates(["document", "ordinal"])
+    keyed = orphans.link_keys(asking, documents).select("document", "ordinal", F.explode("target_keys").alias("key"))
+    asks = keyed.join(asking.select("document", "ordinal", "target", "block_ref"), ["document", "ordinal"])
+    named = orphans.document_keys(documents)
+    known = named.select(F.explode("keys").alias("key")).distinct().withColumn("there", F.lit(1))
+    held = blocks.select(F.col("document").alias("doc_id"), F.col("block_id").alias("block_ref")).distinct().join(named, "doc_id")
+    held = held.select(F.explode("keys").alias("key"), "block_ref").distinct().withColumn("held", F.lit(1))
+    each = skew_join(asks.select("key", "block_ref").distinct(), known, "key", "inner").join(held, ["key", "block_ref"], "left")
+    verdict = each.select(_asked(), F.coalesce("held", F.lit(0)).alias("held"))
+    found = skew_join(asks.select("document", "ordinal", "target", "block_ref", _asked()), verdict, "asked", "inner")
+    lost = found.groupBy("document", "ordinal", "target", "block_ref").agg(F.max("held").alias("held")).filter("held = 0")
+    return _finding(lost.join(documents.select(F.col("doc_id").alias("document"), "path"), "document"), "link-block-missing", F.col("target"), F.col("block_ref"))
+
+
+def _asked() -> Column:
+    """A target key and a block id as one key."""
+    return F.concat(F.length("key").cast("string"), F.lit(":"), "key", "block_ref").alias("asked")
 
 
 def ambiguous(links: DataFrame, documents: DataFrame) -> DataFrame:

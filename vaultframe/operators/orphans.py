@@ -81,15 +81,20 @@ def link_keys(links: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def parent_keys(documents: DataFrame, headings: DataFrame) -> DataFrame:
-    """(key): everything a target key or an anchor key can match. As many for a document as its path is deep, for it and for each heading."""
-    named = documents.select(
+def document_keys(documents: DataFrame) -> DataFrame:
+    """(doc_id, keys): the target keys that name each document."""
+    return documents.select(
         "doc_id",
         F.concat(
             F.array(_key("d", F.col("doc_id").cast("string")), _key("m", F.col("path"))),
             F.transform(paths.suffixes(F.col("path")), lambda s: _key("w", s)),
         ).alias("keys"),
     )
+
+
+def parent_keys(documents: DataFrame, headings: DataFrame) -> DataFrame:
+    """(key): everything a target key or an anchor key can match. As many for a document as its path is deep, for it and for each heading."""
+    named = document_keys(documents)
     places = headings.select(F.col("document").alias("doc_id"), "text", "slug").distinct()
     # a Markdown target takes slugs, a wikilink texts, a document's own link either
     anchored = places.join(named, "doc_id").select(
