@@ -109,6 +109,31 @@ def test_encoding_round_trip_and_edges(spark):
     assert encoding.encode(df.filter("id in (2, 3)"), "id", "text").count() == 2
 
 
+@settings(max_examples=200, deadline=None)
+@given(HARD.map(lambda t: (t + "word and it's 12 words, ") * 3), st.integers(1, 40))
+def test_a_long_text_is_cut_where_pretokens_begin(text, most):
+    parts = list(encoding._segments(text, most))
+    assert "".join(parts) == text
+    assert [w for x in parts for w in regex.findall(encoding.PATTERN, x)] == regex.findall(encoding.PATTERN, text)
+
+
+def test_a_long_text_has_the_words_of_its_parts(monkeypatch):
+    text = "the cat's moss, 12 rivers " * 50 + "x" * 300
+    whole = encoding.block_words([text])
+    monkeypatch.setattr(encoding, "BLOCK_CHARS", 64)
+    words, local, counts = encoding.block_words([text])
+    assert [words[k] for k in local] == [whole[0][k] for k in whole[1]] == regex.findall(encoding.PATTERN, text)
+    assert counts.tolist() == [len(local)] and len(set(words)) == len(words)
+
+
+def test_words_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "HOT_WORDS", 5)
+    docs = table(spark, SF, "documents").limit(40)
+    few = {r["doc_id"]: list(r["ids"]) for r in encoding.encode(docs, "doc_id", "text").collect()}
+    monkeypatch.undo()
+    assert few == {r["doc_id"]: list(r["ids"]) for r in encoding.encode(docs, "doc_id", "text").collect()}
+
+
 def test_corpus_encodes_as_one_text_at_a_time(spark):
     import tiktoken
 

@@ -5,17 +5,20 @@
 2. The blocks' distinct words are shuffled by word; each distinct word of the corpus is encoded once.
 3. Ids are joined back to (block, local number) and meet their block's texts, which are reassembled by position.
 
-Only words and numbers are shuffled, never occurrences as rows, and a word in every text is one row for each block.
+Only words and numbers are shuffled, never occurrences as rows. The words of most blocks, of which there are at most HOT_WORDS, find their
+ids by a broadcast of bounded size, so that a word in every text is a row for each block only where it is used.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,14 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_CHARS = 2_000_000
+#: Code points of a block's texts together; a longer text is a block of its own, cut into pre-tokens as many code points at a time.
+BLOCK_CHARS = 1_000_000
+#: Words that are broadcast, each of at most HOT_BYTES: those in the most blocks.
+HOT_WORDS, HOT_BYTES = 16_384, 64
+#: Ids that the assembly has in hand at once; a text of more is alone.
+ASSEMBLED_IDS = 500_000
 _END = 8
+_GAP = re.compile(r"[A-Za-z0-9,;] (?=[A-Za-z0-9])")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,19 +83,45 @@ def pretokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     return joined, points, begin, stop, np.diff(np.searchsorted(begin, text_starts))
 
 
+def _segments(text: str, most: int) -> Iterator[str]:
+    """A text cut into parts of about `most` code points where a pre-token surely begins whatever stands around it: at a space between
+    two characters that are no white space. Without one the part goes on to the next."""
+    start = 0
+    while len(text) - start > most:
+        gap = _GAP.search(text, start + most)
+        if not gap:
+            break
+        yield text[start : gap.start() + 1]
+        start = gap.start() + 1
+    yield text[start:]
+
+
 def block_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct pre-tokens of some texts, the local number of each pre-token in order, and how many each text has."""
-    joined, points, begin, stop, counts = pretokens(texts)
-    if not len(begin):
+    """The distinct pre-tokens of some texts, the local number of each pre-token in order, and how many each text has. One text that is
+    longer than a block is gone through in parts, so that only its pre-tokens' hashes are held whole."""
+    parts = [texts] if len(texts) != 1 else [[t] for t in _segments(texts[0], BLOCK_CHARS)]
+    hashes, words, counts = [], {}, np.zeros(len(texts), np.int64)
+    for part in parts:
+        joined, points, begin, stop, n = pretokens(part)
+        counts += n
+        if len(begin):
+            hashed = kernel.span_hashes(points, begin, stop)
+            distinct, first = np.unique(hashed, return_index=True)
+            for h, a, b in zip(distinct.tolist(), begin[first].tolist(), stop[first].tolist()):
+                if h not in words:
+                    words[h] = joined[a:b]
+            hashes.append(hashed)
+    if not hashes:
         return [], np.zeros(0, np.int32), counts
-    _, first, local = np.unique(kernel.span_hashes(points, begin, stop), return_index=True, return_inverse=True)
-    return [joined[a:b] for a, b in zip(begin[first].tolist(), stop[first].tolist())], local.astype(np.int32), counts
+    distinct, local = np.unique(np.concatenate(hashes) if len(hashes) > 1 else hashes[0], return_inverse=True)
+    return [words[h] for h in distinct.tolist()], local.astype(np.int32), counts
 
 
-def _cut(lengths: list[int]) -> Iterator[tuple[int, int]]:
+def _cut(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths sum to at most `most`; a longer one is alone."""
     start = size = 0
-    for i, n in enumerate(lengths):
-        if i > start and size + n > BLOCK_CHARS:
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
@@ -94,6 +129,11 @@ def _cut(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _lengths(column: pa.Array) -> np.ndarray:
+    """Bytes or items of each row of a string or list column; 0 for null."""
+    return pc.fill_null(pc.binary_length(column) if pa.types.is_string(column.type) else pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
 def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each text (block, doc, places) and one for each block (block, words). A null text has no places."""
     kind = dict(df.dtypes)[key]
@@ -101,9 +141,8 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for a, b in _cut([len(t) for t in texts]):
-                words, local, counts = block_words(texts[a:b])
+            for a, b in _cut(_lengths(batch.column(1)), BLOCK_CHARS):
+                words, local, counts = block_words(["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()])
                 offsets = np.zeros(b - a + 2, np.int32)
                 offsets[1:-1] = np.cumsum(counts)
                 offsets[-1] = offsets[-2]
@@ -125,19 +164,30 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(F.col(key).alias("doc"), F.col(text).alias("text"))).mapInArrow(make, f"block bigint, doc {kind}, dictionary boolean, places array<int>, words array<string>")
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids) for each row of (word)."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+_encodings: dict = {}
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encoding(path: str, ranks: dict[bytes, int]):
+    """The tokenizer of a vocabulary: built once a process, as its tables are large."""
+    if path not in _encodings:
         import tiktoken
 
-        bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        _encodings.clear()
+        _encodings[path] = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, blocks, ids) for each row of (word, blocks), by the vocabulary file at `path`."""
+    shared = words.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bpe = _encoding(path, shared.value)
             ids = [bpe.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "blocks", "ids"])
 
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+    return words.select("word", "blocks").mapInArrow(encode, "word string, blocks bigint, ids array<int>")
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -146,43 +196,43 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) ->
     An empty and a null text both give an empty list. One row for each row of df, repeated keys included. Texts of any length are one
     row and one block; columns besides `key` and `text` are ignored; an empty table gives an empty result."""
     spark: SparkSession = df.sparkSession
-    ranks = read_ranks(vocabulary or os.path.join(TOKENIZERS, VOCABULARY))
     kind = dict(df.dtypes)[key]
     cut = materialize(blocks(df, key, text), "blocks")
     words = cut.filter("dictionary").select("block", F.posexplode("words").alias("local", "word"))
-    known = words.join(encode_words(words.select("word").distinct(), ranks), "word").select("block", F.lit(None).cast(kind).alias("doc"), F.lit(0).alias("texts"), "local", "ids")
+    known = materialize(encode_words(words.groupBy("word").agg(F.count(F.lit(1)).alias("blocks")), vocabulary or os.path.join(TOKENIZERS, VOCABULARY)), "words")
+    hot = materialize(known.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("blocks"), "word").limit(HOT_WORDS).select("word", "ids"), "hot-words")
+    often = words.join(F.broadcast(hot), "word")
+    seldom = words.join(F.broadcast(hot.select("word")), "word", "left_anti").join(known.select("word", "ids"), "word")
+    numbered = often.unionByName(seldom).select("block", F.lit(None).cast(kind).alias("doc"), F.lit(0).alias("texts"), "local", "ids")
     texts = cut.filter(~F.col("dictionary")).select("block", "doc", F.lit(1).alias("texts"), F.lit(0).alias("local"), F.col("places").alias("ids"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = known.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "texts", "local")
+    met = numbered.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "texts", "local")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        block, begin, sizes, flat = None, None, None, None
+        block, held, sizes, begin, flat = None, [], None, None, None
         for batch in batches:
             of, is_text = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             limits = np.flatnonzero(np.diff(of) | np.diff(is_text)) + 1
             for a, b in zip([0, *limits], [*limits, len(of)]):
+                if of[a] != block:  # sizes stays None until the block's first text
+                    block, held, sizes, flat = of[a], [], None, None
                 column = batch.column(4).slice(a, b - a)
-                offsets = column.offsets.to_numpy()
-                values = column.values.to_numpy()[offsets[0] : offsets[-1]]
                 if not is_text[a]:
-                    if of[a] != block:
-                        block, held = of[a], []
-                    held.append((np.diff(offsets), values))
-                    begin = None
+                    held.append((_lengths(column).astype(np.int32), column.flatten().to_numpy().copy()))
                     continue
-                if of[a] != block:  # a block whose texts are all empty
-                    block, held, begin = of[a], [], None
-                if begin is None:
-                    sizes = np.concatenate([h[0] for h in held]).astype(np.int64) if held else np.zeros(0, np.int64)
-                    flat = np.concatenate([h[1] for h in held]) if held else np.zeros(0, np.int32)
-                    begin = np.cumsum(sizes) - sizes
-                count = sizes[values]
-                ends = np.cumsum(count)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.repeat(begin[values] - (ends - count), count) + np.arange(total)]
-                at = np.concatenate(([0], ends))[offsets - offsets[0]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(ids, pa.int32()))], names=[key, "ids"])
+                if sizes is None:
+                    sizes = np.concatenate([n for n, _ in held]) if held else np.zeros(0, np.int32)
+                    flat = np.concatenate([x for _, x in held]) if held else np.zeros(0, np.int32)
+                    begin, held = np.cumsum(sizes) - sizes, []
+                for low, high in _cut(_lengths(column), ASSEMBLED_IDS):
+                    part = column.slice(low, high - low)
+                    values = part.flatten().to_numpy()
+                    count = sizes[values]
+                    ends = np.cumsum(count)
+                    ids = np.arange(int(ends[-1]) if len(ends) else 0)
+                    ids += np.repeat(begin[values] - (ends - count), count)
+                    at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(_lengths(part))))].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(a + low, high - low), pa.ListArray.from_arrays(pa.array(at), pa.array(flat[ids], pa.int32()))], names=[key, "ids"])
 
     return met.mapInArrow(assemble, f"`{key}` {kind}, ids array<int>")
 
