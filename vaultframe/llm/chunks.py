@@ -32,12 +32,15 @@ def _char_start(body: bytes, at: int) -> int:
     return at
 
 
-def places(body: bytes, headings: list[tuple[int, int]], step: int) -> dict[int, int]:
-    """Where a body may be cut, and how strong each place is (1-6 heading, 7 block, 8 sentence, 9 space or character). No two
+Block = tuple[int, int, int, bool]
+
+
+def places(body: bytes, blocks: list[Block], step: int) -> dict[int, int]:
+    """Where a body of these blocks may be cut, and how strong each place is (1-6 heading, 7 block, 8 sentence, 9 space or character). No two
     neighbouring places are more than about `step` bytes apart."""
     flat = flat_lines(body)
     out: dict[int, int] = {}
-    for start, end, level, fenced in scan_blocks(body, headings):
+    for start, end, level, fenced in blocks:
         if start:
             out[start] = level or _BLOCK
         if fenced:
@@ -65,11 +68,16 @@ def places(body: bytes, headings: list[tuple[int, int]], step: int) -> dict[int,
 
 
 def cuts(bodies: list[bytes], headings: list[list[tuple[int, int]]], limit: int, overlap: int) -> list[np.ndarray]:
-    """The cuts of each body, 0 and its length included, by squaring successor tables over all bodies at once."""
+    """The cuts of each body, 0 and its length included, and where the piece after each starts."""
+    return block_cuts(bodies, [scan_blocks(b, h) for b, h in zip(bodies, headings)], limit, overlap)
+
+
+def block_cuts(bodies: list[bytes], blocks: list[list[Block]], limit: int, overlap: int) -> list[np.ndarray]:
+    """As `cuts`, of bodies whose blocks are known, by squaring successor tables over all bodies at once."""
     at, rank, starts, base, bases = [], [], [], 0, []
     offset = 0
-    for body, heads in zip(bodies, headings):
-        found = places(body, heads, max(8, (limit - overlap) // 8))
+    for body, own in zip(bodies, blocks):
+        found = places(body, own, max(8, (limit - overlap) // 8))
         order = sorted(found)
         at += [offset, *(offset + p for p in order), offset + len(body)]
         rank += [_END, *(found[p] for p in order), _END]
@@ -149,28 +157,35 @@ def _chunked(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def block_sizes(df: DataFrame, key: str, text: str, headings: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(key, block_offset, size, level) of each block of the texts over `limit` bytes: the natural boundaries that `split` cuts at first."""
+def block_sizes(df: DataFrame, key: str, text: str, headings: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, block_offset, size, level, cuts) of each block of the texts over `limit` bytes: the natural boundaries that `split` cuts at first,
+    and how many of its cuts fall inside the block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _chunked(whole):
-                rows, at = [], []
-                for i, (body, heads) in enumerate(zip(batch.column(1).to_pylist(), _heads(batch.column(2)))):
-                    found = scan_blocks(body, heads)
-                    rows += found
-                    at += [i] * len(found)
+                bodies = batch.column(1).to_pylist()
+                blocks = [scan_blocks(b, h) for b, h in zip(bodies, _heads(batch.column(2)))]
+                rows, inside, at = [], [], []
+                for i, (own, (stops, _)) in enumerate(zip(blocks, block_cuts(bodies, blocks, limit, overlap) if bodies else [])):
+                    rows += own
+                    inside.append(np.searchsorted(stops, [e for _, e, _, _ in own], "left") - np.searchsorted(stops, [s for s, _, _, _ in own], "right"))
+                    at += [i] * len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([s for s, _, _, _ in rows], pa.int64()), pa.array([e - s for s, e, _, _ in rows], pa.int64()), pa.array([v for _, _, v, _ in rows], pa.int32())],
-                    names=[key, "block_offset", "size", "level"],
-                )
+                    [
+                        batch.column(0).take(pa.array(at, pa.int64())), pa.array([s for s, _, _, _ in rows], pa.int64()), pa.array([e - s for s, e, _, _ in rows], pa.int64()),
+                        pa.array([v for _, _, v, _ in rows], pa.int32()), pa.array(np.maximum(np.concatenate([np.zeros(0, np.int64), *inside]), 0).astype(np.int32)),
+                    ],
+                    names=[key, "block_offset", "size", "level", "cuts"],
+                )
 
-    return _with_headings(df, key, text, headings, limit).mapInArrow(scan, f"`{key}` {dict(df.dtypes)[key]}, block_offset bigint, size bigint, level int")
+    return _with_headings(df, key, text, headings, limit).mapInArrow(scan, f"`{key}` {dict(df.dtypes)[key]}, block_offset bigint, size bigint, level int, cuts int")
 
 
 def oversized_blocks(df: DataFrame, key: str, text: str, headings: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(key, block_offset): blocks that are over the limit themselves, where `split` must cut inside."""
-    return block_sizes(df, key, text, headings, limit).filter(F.col("size") > limit).select(key, "block_offset")
+    """(key, block_offset): blocks that are over the limit themselves. They are among those that a cut of `split` falls inside of, as what
+    lies between two neighbouring cuts is within the limit."""
+    return block_sizes(df, key, text, headings, limit).filter((F.col("cuts") > 0) & (F.col("size") > limit)).select(key, "block_offset")
 
 
 def split(df: DataFrame, key: str, text: str, headings: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
