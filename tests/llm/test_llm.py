@@ -229,6 +229,16 @@ def test_tail_is_exact():
     assert cooccurrence.log_upper_tail(np.array([0.5]), np.array([3.0]), 4) == -math.inf
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(BODY, min_size=1, max_size=3))
+def test_a_cut_falls_in_every_oversized_block(bodies):
+    raw = [b.encode() for b in bodies if b]
+    blocks = [prose.scan_blocks(b, []) for b in raw]
+    for own, (stops, _) in zip(blocks, chunks.block_cuts(raw, blocks, 64, 16) if raw else []):
+        for start, end, _, _ in own:
+            assert end - start <= 64 or ((stops > start) & (stops < end)).any()
+
+
 def test_null_keeps_degrees():
     fitness, y, m = cooccurrence.fit_null({1: 40, 5: 10, 20: 2}, {1: 30, 2: 20, 6: 10})
     for k, x in fitness.items():
@@ -262,6 +272,20 @@ def test_associations_brute_force(spark, monkeypatch, block):
     assert cooccurrence.associations(df.filter("false"), "b", "i").count() == 0
 
 
+def test_null_of_binned_histograms(spark, monkeypatch):
+    sizes = spark.createDataFrame([(k,) for k in [1, 2, 2, 255, 256, 257, 258, 300, 5000, 5010, 100_000]], "s bigint")
+    got = cooccurrence.histogram(sizes, "s")
+    assert {k: got[k] for k in (1, 2, 255)} == {1: 1, 2: 2, 255: 1} and sum(got.values()) == 11
+    assert sum(k * n for k, n in got.items()) == pytest.approx(1 + 2 + 2 + 255 + 256 + 257 + 258 + 300 + 5000 + 5010 + 100_000)
+    rng = random.Random(4)
+    rows = [(b, f"t{int(rng.paretovariate(0.6)) % 40}") for b in range(900) for _ in range(1 + b % 7)]
+    df = spark.createDataFrame(rows, "b bigint, i string")
+    whole = {(r[0], r[1]): r["expected"] for r in cooccurrence.associations(df, "b", "i", 1).collect()}
+    monkeypatch.setattr(cooccurrence, "EXACT", 8)
+    binned = {(r[0], r[1]): r["expected"] for r in cooccurrence.associations(df, "b", "i", 1).collect()}
+    assert whole.keys() == binned.keys() and all(binned[k] == pytest.approx(e, rel=0.02) for k, e in whole.items())
+
+
 def test_step_up_rule(spark):
     p = [1e-9, 1e-4, 0.004, 0.019, 0.03, 0.5]
     df = spark.createDataFrame([(math.log(x),) for x in p], "lp double")
@@ -377,6 +401,26 @@ def test_reading_level_on_held_out_grades(spark):
     assert len(got) == docs.count()
 
 
+def test_reading_level_ranks_held_out_grades_and_converges(spark):
+    sf = SF.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "reading_labels").filter("grade is not null")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    truth = labels.filter(held).groupBy("doc_id").agg(F.avg("grade").alias("g")).toPandas()
+
+    def ranks(style_share: float) -> float:
+        got = reading.reading_level(docs, "doc_id", "body", labels.filter(~held), "doc_id", "grade", style_share=style_share)
+        own = truth.assign(d=truth.doc_id.map(got.select("doc_id", "difficulty").toPandas().set_index("doc_id").difficulty)).dropna()
+        assert len(own) > 100
+        return own.g.rank().corr(own.d.rank())
+
+    assert ranks(reading.STYLE_SHARE) > 0.7 and ranks(0.0) > 0.4
+    clamp = labels.groupBy(F.col("doc_id").alias("doc")).agg(F.avg("grade").alias("grade"))
+    facts = reading.features(docs, "doc_id", "body").join(clamp, "doc", "left").filter("words > 0")
+    fitted = reading.Difficulty(facts.select("words", "letters", "sentences", "nodes", "counts", "grade"))
+    assert fitted.residuals[-1] < reading.TOLERANCE and len(fitted.residuals) < reading.ITERATIONS
+    assert all(b < a for a, b in zip(fitted.residuals, fitted.residuals[1:]))
+
+
 def test_reading_level_edges(spark):
     rows = [(1, "Plain words here. " * 30), (2, None), (3, ""), (4, "# only a heading"), (1, "Plain words here. " * 30), (5, "z" * 100_000)]
     df = spark.createDataFrame(rows, "id bigint, body string").withColumn("words", F.lit("clash")).withColumn("grade", F.lit(1))

@@ -33,7 +33,25 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY model_id, dimensions, d ORDER BY c DESC, o) AS n FROM near
 )"""
 
+# Every body: those of three words or more by their shingles, shorter ones by equal words or, without a word, by the unchanged text.
+_CLASSED = _SHINGLES + """, pair AS (SELECT doc_a, doc_b, c, x.n AS n_a, y.n AS n_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= {least}),
+edge AS (SELECT doc_a AS a, doc_b AS b FROM pair UNION ALL SELECT doc_b, doc_a FROM pair),
+reach AS (SELECT doc_id, doc_id AS other FROM size UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+shingled AS (
+  SELECT s.doc_id, least(s.doc_id, (SELECT min(doc_a) FROM pair WHERE doc_b = s.doc_id AND c = n_a AND c = n_b)) AS class_id, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS group_id,
+    (SELECT count(*) FROM edge WHERE a = s.doc_id) AS links FROM size s
+), short AS (
+  SELECT d.doc_id, CASE WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 't' || body END AS alike FROM documents d JOIN worded USING (doc_id) WHERE len(w) < {words}
+), held AS (SELECT alike, min(doc_id) AS class_id, count(*) - 1 AS links FROM short GROUP BY 1)
+SELECT * FROM shingled UNION ALL SELECT doc_id, class_id, class_id, links FROM short JOIN held USING (alike) UNION ALL SELECT doc_id, doc_id, doc_id, 0 FROM documents WHERE body IS NULL"""
+
 ORACLES = {
+    "p2_neighbours": _VECTORS + " SELECT model_id, dimensions, d AS document, n AS rank, o AS other, round(c, 9) AS cosine FROM ranked WHERE n <= 5 AND d % 50 = 0",
+    "p3_pairs": _TAGS + " SELECT tag_a, tag_b, together, n_a, n_b, round(together * docs / (n_a * n_b), 6) AS lift FROM counted",
+    "p4_covered": "SELECT doc_id, strlen(body) AS bytes, true AS short, true AS joined, true AS laps, true AS own FROM documents WHERE strlen(body) > 2000",
+    "p6_documents": _CLASSED.format(last=2, words=3, least=0.7),
+    "p6_strict_documents": _CLASSED.format(last=4, words=5, least=0.8),
+    "p8_limits": "SELECT unnest(['tokens', 'segments', 'loss', 'overlapping', 'lost', 'cut', 'documents']) AS broken, unnest([0, 0, 0, 0, 0, 0, (SELECT count(*) FROM documents)]) AS cases",
     "p2_found": _VECTORS + " SELECT DISTINCT model_id, dimensions, least(d, o) AS doc_a, greatest(d, o) AS doc_b FROM ranked WHERE n <= 5 AND c >= 0.9",
     "p6_groups": _SHINGLES.format(last=2, words=50) + """, pair AS (SELECT doc_a, doc_b, c, x.n AS n_a, y.n AS n_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7),
 edge AS (SELECT doc_a AS a, doc_b AS b FROM pair UNION ALL SELECT doc_b, doc_a FROM pair),
