@@ -10,12 +10,9 @@ import json
 import re
 from decimal import Decimal
 
-try:
-    import yaml
+import yaml
 
-    _LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-except ImportError:  # parsing frontmatter then refuses every block that isn't empty
-    yaml = None
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 MAX_BYTES = 16 * 1024
 MAX_DEPTH = 256
@@ -25,7 +22,7 @@ _INT = re.compile(r"[-+]?(?:0|[1-9][0-9]*)$")
 _RADIX = re.compile(r"(?:0o[0-7]+|0x[0-9a-fA-F]+)$")
 _FLOAT = re.compile(r"[-+]?(?:\.[0-9]+|(?:0|[1-9][0-9]*)(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$")
 # Fixed values of the YAML 1.2 core schema.
-_WORDS = {"": None, "~": None, "null": None, "Null": None, "NULL": None, "true": True, "True": True, "TRUE": True, "false": False, "False": False, "FALSE": False}
+WORDS = {"": None, "~": None, "null": None, "Null": None, "NULL": None, "true": True, "True": True, "TRUE": True, "false": False, "False": False, "FALSE": False}
 _INFINITE = re.compile(r"[-+]?\.(?:inf|Inf|INF)$|\.(?:nan|NaN|NAN)$")
 
 
@@ -65,18 +62,16 @@ class _Reader:
         value = node.value
         if node.style is not None and node.style != "":
             return value
-        if value in _WORDS:
-            return _WORDS[value]
-        if _INT.match(value):
-            n = int(value)
+        if value in WORDS:
+            return WORDS[value]
+        if _INT.match(value) or _RADIX.match(value):
+            n = int(value) if _INT.match(value) else int(value, 0)
             if -(1 << 63) <= n < 1 << 63:
                 return n
             self.diagnostics += 1
             if n < 1 << 64 and n >= 0:
                 return float(n)
             raise Refused("an integer out of range")
-        if _RADIX.match(value):
-            return int(value, 0)
         if _INFINITE.match(value):
             return float(value.replace(".", "", 1))
         if _FLOAT.match(value) and any(c.isdigit() for c in value):
@@ -123,8 +118,6 @@ def read(text: str) -> Block:
         if not source.strip():
             block.value = {}
             return block
-        if yaml is None:
-            raise Refused("no YAML reader")
         node = yaml.compose(source, Loader=_LOADER)
         if node is None:
             block.value = {}
@@ -139,7 +132,7 @@ def read(text: str) -> Block:
             for item in items:
                 if isinstance(item, yaml.ScalarNode) and isinstance(reader.scalar(item), str):
                     block.strings.append((key.value, item.value, block.start + item.start_mark.index, block.start + item.end_mark.index, isinstance(value, yaml.SequenceNode)))
-    except (Refused, yaml.YAMLError if yaml else Refused, RecursionError, ValueError):
+    except (Refused, yaml.YAMLError, RecursionError, ValueError):
         block.status, block.value, block.strings, block.diagnostics = "unreadable", None, [], 1
     return block
 
@@ -166,13 +159,33 @@ def fields(text: str) -> list[tuple[str, int, int, str]]:
     """(field, start, stop, style) of each top-level field of a block that reads, in order; offsets in characters of its value. Styles: plain,
     single, double, literal, folded, flow-sequence, block-sequence, flow-map, block-map, empty."""
     block = read(text)
-    if block.value is None or yaml is None or not text[block.start : block.stop].strip():
+    if block.value is None or not text[block.start : block.stop].strip():
         return []
     out = []
-    for key, value in yaml.compose(text[block.start : block.stop], Loader=_LOADER).value:
+    root = yaml.compose(text[block.start : block.stop], Loader=_LOADER)
+    for key, value in root.value if root is not None else ():
         if isinstance(value, yaml.ScalarNode):
             style = {"'": "single", '"': "double", "|": "literal", ">": "folded"}.get(value.style or "", "plain" if value.value else "empty")
         else:
             style = ("flow-" if value.flow_style else "block-") + ("sequence" if isinstance(value, yaml.SequenceNode) else "map")
         out.append((str(key.value), block.start + value.start_mark.index, block.start + value.end_mark.index, style))
     return out
+
+
+def entries(text: str) -> list[tuple[str, int, int]]:
+    """(field, start, stop) of the whole lines of each top-level field of a block that reads; a field that shares a line with another, as in
+    a flow mapping, has none. Comments and blank lines around a field aren't its own."""
+    block = read(text)
+    source = text[block.start : block.stop]
+    if block.value is None or not source.strip():
+        return []
+    root = yaml.compose(source, Loader=_LOADER)
+    if root is None or root.flow_style:
+        return []
+    out = []
+    for key, value in root.value:
+        a = max(source.rfind("\n", 0, key.start_mark.index), source.rfind("\r", 0, key.start_mark.index)) + 1
+        last = max(key.end_mark.index, len(source[: value.end_mark.index].rstrip()))
+        b = next((m.end() for m in re.compile(r"\r\n|\n|\r").finditer(source, last)), len(source))
+        out.append((str(key.value), block.start + a, block.start + b))
+    return out

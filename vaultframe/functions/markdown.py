@@ -29,7 +29,7 @@ _WHOLE_TAG = regex.compile(r"#?([\p{L}\p{M}\p{N}_/-]+)")
 _PROTOCOL = regex.compile(r"([a-z][a-z0-9+.-]*)://(.+)", regex.S)
 _BLOCK_ID = regex.compile(r"(?:^|\s)\^([A-Za-z0-9_-]+)\s*$")
 _ESCAPE = regex.compile(r"\\([!-/:-@\[-`{-~])")
-_SLUG_DROP = regex.compile(r"[^\p{L}\p{N}\p{M}_\- ]")
+_SLUG_DROP = regex.compile(r"[^\p{Alphabetic}\p{N}\p{M}_\- ]")
 _LINE = regex.compile(r"\r\n|\n|\r")
 
 
