@@ -9,7 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vaultframe.operators import findings, store, vectors
+from vaultframe.functions import parse
+from vaultframe.operators import findings, reads, store, vectors
 from vaultframe.plans import edits, plans
 from vaultframe.sources import vault
 from vaultframe.streaming import watch
@@ -94,6 +95,141 @@ def test_stream_and_feed(spark, tmp_path):
     assert spark.table("feed").count() == 3
 
 
+def parsed(spark, rows, start=0):
+    """Upserts with their facts, of (path, text)."""
+    docs = parse.parse(spark.createDataFrame(rows, "path string, text string"), "path", "text").join(spark.createDataFrame(rows, "path string, text string"), "path")
+    return docs.select(
+        F.lit(start).alias("seq"), F.lit("upsert").alias("kind"), "path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("bigint").alias("byte_length"), "body",
+        F.sha2("body", 256).alias("body_hash"), "body_offset", "frontmatter", F.sha2("frontmatter", 256).alias("frontmatter_projection_hash"), "frontmatter_diagnostic_count",
+        F.lit(None).cast("string").alias("provenance"), "headings", "links", "tags", "blocks",
+    )
+
+
+def files_of(base):
+    return {str(p) for p in base.rglob("*.parquet")}
+
+
+def test_store_keeps_facts_current(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=4, indexed=True)
+    s.apply(parsed(spark, [("a.md", "# One\n[[b]] #x moss\n"), ("n/b.md", "---\ntags: [y]\n---\n# Two\ntext ^id1\n"), ("c.md", "[[gone]]\n")]), 1)
+    facts = lambda name, c: sorted((r["path"], r[c]) for r in s.read(name).collect())
+    assert facts("headings", "text") == [("a.md", "One"), ("n/b.md", "Two")] and facts("links", "target") == [("a.md", "b"), ("c.md", "gone")]
+    assert facts("tags", "name") == [("a.md", "x"), ("n/b.md", "y")] and facts("blocks", "block_id") == [("n/b.md", "id1")]
+    assert [r["rows"] for r in s.drift().collect()] == [0, 0] and s.read("postings").filter("term = 'moss'").count() == 1
+    before = files_of(tmp_path / "s")
+    s.apply(parsed(spark, [("a.md", "# New\nno link\n")]).unionByName(spark.createDataFrame([death(1, "c.md")], CHANGE), allowMissingColumns=True), 2)
+    assert facts("headings", "text") == [("a.md", "New"), ("n/b.md", "Two")] and facts("links", "target") == [] and facts("tags", "name") == [("n/b.md", "y")]
+    assert [r["rows"] for r in s.drift().collect()] == [0, 0] and s.read("postings").filter("term = 'moss'").count() == 0
+    whole = store.Store(spark, str(tmp_path / "w"), buckets=3, indexed=True)
+    whole.apply(parsed(spark, [("a.md", "# New\nno link\n"), ("n/b.md", "---\ntags: [y]\n---\n# Two\ntext ^id1\n")]), 9)
+    for name in ("headings", "links", "tags", "blocks", "postings"):  # what increments keep is what a rebuild has
+        assert sorted(map(str, s.read(name).collect())) == sorted(map(str, whole.read(name).collect()))
+    assert before <= files_of(tmp_path / "s") and s.vacuum() > 0 and facts("headings", "text") == [("a.md", "New"), ("n/b.md", "Two")]
+    s.spark.createDataFrame([("stray", "a.md", [1])], "term string, path string, positions array<int>").write.mode("append").parquet(f"{tmp_path}/s/{s.state()['epoch']}/postings/rev-2/bucket={next(iter(b for b, r in s.state()['written']['postings'].items() if r[0] == 2))}")
+    assert {r["side"]: r["rows"] for r in s.drift().collect()} == {"stored": 1, "derived": 0}
+
+
+def test_a_changeset_writes_its_own_buckets_only(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=16)
+    s.apply(spark.createDataFrame([up(i, f"d/{i}.md", "x") for i in range(60)], CHANGE), 0)
+    before = {b: r[0] for b, r in s.state()["written"]["documents"].items()}
+    s.apply(spark.createDataFrame([up(0, "d/3.md", "y")], CHANGE), 1)
+    after = {b: r[0] for b, r in s.state()["written"]["documents"].items()}
+    assert len(before) > 8 and sum(before[b] != after[b] for b in after) == 1 and s.read("documents").count() == 60
+
+
+def test_findings_go_with_their_subjects_and_classes(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=4)
+    s.apply(spark.createDataFrame([up(0, "a.md", "1"), up(1, "n/b.md", "2"), up(2, "m/b.md", "3"), up(3, "c.md", "4")], CHANGE), 0)
+    s.pin_schema("v1")
+    found = spark.createDataFrame([("link-ambiguous", "warning", "a.md", "b", "2"), ("forbidden-field", "warning", "c.md", "zip", "1"), ("forbidden-field", "warning", "c.md", "zip", "1"), ("link-target-missing", "warning", "c.md", "x/gone", None)], "code string, severity string, path string, subject string, detail string")
+    heads = spark.createDataFrame([("b", 2, ["m/b.md", "n/b.md"])], "target string, total bigint, head array<string>")
+    rows = findings.records(found, heads)
+    assert s.record(rows) == 3 == s.record(rows)
+    stands = s.read("findings")
+    assert {(r["kind"], r["fingerprint"], r["generation"]) for r in stands.collect()} == {("link-ambiguous", "v1", 2), ("forbidden-field", "v1", 2), ("link-target-missing", "v1", 2)}
+    assert [(c["path"], c["suffix"]) for c in reads.findings_for_path(stands, "a.md").first()["candidates"]] == [("m/b.md", "b/m/"), ("n/b.md", "b/n/")]
+    assert [r["path"] for r in reads.in_class(stands, "b/").collect()] == ["a.md"]
+    ids = [r["id"] for r in reads.finding_page(stands, None, 2).collect()]
+    assert ids == sorted(ids) and [r["id"] for r in reads.finding_page(stands, ids[-1], 2).collect()] == sorted({r["id"] for r in stands.collect()} - set(ids))
+    s.apply(spark.createDataFrame([up(0, "k/gone.md", "5")], CHANGE), 1)  # its class is that of the missing target
+    assert {r["kind"] for r in s.read("findings").collect()} == {"link-ambiguous", "forbidden-field"}
+    s.apply(spark.createDataFrame([up(0, "c.md", "6")], CHANGE), 2)  # its own subject
+    assert {r["kind"] for r in s.read("findings").collect()} == {"link-ambiguous"}
+    s.apply(spark.createDataFrame([death(0, "m/b.md")], CHANGE), 3)  # a death touches its class too
+    assert s.read("findings").count() == 0
+    s.record(rows)
+    with pytest.raises(ValueError):
+        s.record(rows.withColumn("candidates_total", F.lit(0).cast("bigint")))
+    generation = s.state()["generation"]
+    assert s.pin_schema("v2") and s.read("findings").count() == 0 and s.state()["generation"] == generation + 1 and s.read("documents").count() == 4
+    assert [tuple(r) for r in s.schema_pin().collect()] == [("v2", generation + 1)]
+    place = findings.records(spark.createDataFrame([("document/not-utf8", "error", p, None, None) for p in ("a.md", "z.md")], found.schema))
+    assert s.record(place) == 1 and s.read("findings").first()["path"] == "z.md"  # a document stands at the other
+    assert [r["path"] for r in reads.finding_subjects(s.read("findings"), s.read("documents"), ["document/not-utf8"], None, 5).collect()] == ["z.md"]
+    s.discard(spark.createDataFrame([("z.md",)], "path string"), ["other"])
+    assert s.read("findings").count() == 1
+    s.discard(spark.createDataFrame([("z.md",)], "path string"))
+    assert s.read("findings").count() == 0
+
+
+def test_replays_take_no_generation_and_read_what_stood(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=4)
+    first = spark.createDataFrame([up(0, "a.md", "1"), up(1, "b.md", "2")], CHANGE)
+    assert s.apply(first, 0, batch="q#0") == 1 == s.apply(first, 0, batch="q#0")
+    start = watch.FeedStream(s.base).initialOffset()
+    one = watch.FeedStream(s.base).latestOffset()
+    read = lambda a, b: sorted(r for p in watch.FeedStream(s.base).partitions(a, b) for r in watch.FeedStream(s.base).read(p))
+    was = read(start, one)
+    s.apply(spark.createDataFrame([up(0, "a.md", "new"), death(1, "b.md")], CHANGE), 1, batch="q#1")
+    two = watch.FeedStream(s.base).latestOffset()
+    assert [(g, p, k) for g, p, k, _ in was] == [(1, "a.md", "document"), (1, "b.md", "document")] == [(g, p, k) for g, p, k, _ in read(start, one)]
+    assert [(g, p, k) for g, p, k, _ in read(one, two)] == [(2, "a.md", "document"), (2, "b.md", "death")]
+    assert s.open("v") == "rebuilt" and read({**two, "epoch": "other"}, watch.FeedStream(s.base).latestOffset()) == []
+
+
+def test_open_raises_what_is_no_damage(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    s.open("v1")
+    s.apply(spark.createDataFrame([up(0, "a.md", "1")], CHANGE), 0)
+    monkeypatch.setattr(store, "_DENIED", ["is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE"])  # as if the read had been denied
+    for f in files_of(tmp_path / "s"):
+        open(f, "wb").write(b"no")
+    epoch = s.state()["epoch"]
+    with pytest.raises(Exception):
+        s.open("v1")
+    assert s.state()["epoch"] == epoch
+    monkeypatch.undo()
+    assert s.open("v1") == "rebuilt" and s.state()["epoch"] != epoch
+
+
+def test_watched_tree(spark, tmp_path):
+    root = tmp_path / "v"
+    (root / "n").mkdir(parents=True)
+    (root / "n" / "a.md").write_text("one")
+    (root / "b.md").write_text("two")
+    reader = watch.TreeReader(str(root), str(tmp_path / "w"))
+    rows, at = reader.read(reader.initialOffset())
+    assert list(rows) == [("", False, True)] and list(reader.read(at)[0]) == []
+    (root / "n" / "a.md").write_text("longer")
+    rows, now = reader.read(at)
+    assert list(rows) == [("n", False, False)] == list(reader.readBetweenOffsets(at, now))
+    (root / "n" / "a.md").unlink()
+    assert list(reader.read(now)[0]) == [("n", True, False)]
+    batches = spark.createDataFrame([("n", True, False), ("n/x", False, False), ("b", False, False), ("b/c", False, False)], "root string, gone boolean, rescan boolean")
+    assert sorted(r["root"] for r in watch.merge_batches(batches).collect()) == ["b", "n"]
+    assert [tuple(r) for r in watch.merge_batches(batches.unionByName(batches.limit(1).withColumn("rescan", F.lit(True)))).collect()] == [("", False, True)]
+
+
+def test_scoped_increment(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    s.apply(spark.createDataFrame([up(0, "n/a.md", "1"), up(1, "n/b.md", "2"), up(2, "nx.md", "3")], CHANGE), 0)
+    disk = spark.createDataFrame([up(0, "n/a.md", "new"), up(1, "nx.md", "moved too, but not dirty")], CHANGE).select(*store.DOCUMENT)
+    roots = spark.createDataFrame([("n",)], "root string")
+    s.apply(watch.scoped_changes(roots, disk, s.read("documents")), 1)
+    assert state(s) == [("n/a.md", "new"), ("nx.md", "3")]
+
+
 def test_roots(spark):
     roots = spark.createDataFrame([("a", False), ("a/b", False), ("a/c", True), ("d/e", False), ("d/e", False)], "root string, gone boolean")
     assert sorted(r["root"] for r in watch.coalesce_roots(roots).collect()) == ["a", "a/c", "d/e"]
@@ -114,7 +250,7 @@ def test_vault_source(spark, tmp_path):
 
 def test_edits(spark):
     body = "# A\n\none\n\n## B\ntwo\n\n# A\nthree\n"
-    assert edits.edit_body(body, [{"op": "replace_section", "heading": "B", "new": "x\n"}, {"op": "str_replace", "old": "x", "new": "y"}]) == "# A\n\none\n\n## B\ny\n# A\nthree\n"
+    assert edits.edit_body(body, [{"op": "replace_section", "heading": "B", "new": "x\n"}, {"op": "str_replace", "old": "x", "new": "y"}]) == "# A\n\none\n\n## B\ny\n\n# A\nthree\n"  # blank lines around the content stay
     assert edits.apply_edit(body, {"op": "delete_section", "heading": "A", "occurrence": 1}) == "# A\nthree\n"
     assert edits.apply_edit(body, {"op": "insert_before_heading", "heading": "## B", "new": "z\n"}).count("z\n## B") == 1
     with pytest.raises(edits.EditRefused):
@@ -127,6 +263,37 @@ def test_edits(spark):
     assert [tuple(r) for r in edits.edit(df, "id", "body", "ops", "e", "a").orderBy("id").collect()] == [(1, "cb", None), (2, "ab", "hash moved"), (3, None, None)]
 
 
+def test_sections_are_replaced_as_whole_lines():
+    assert edits.replace_section("# h\nx\n# k\ny\n", "h", "N") == "# h\nN\n# k\ny\n"
+    assert edits.replace_section("## Tail", "Tail", "NEW.") == "## Tail\nNEW.\n"
+    assert edits.replace_section("## A\n\n## B\n", "A", "x") == "## A\n\nx\n\n## B\n"
+    assert edits.replace_section("## A\n\nold\n\n## B\n", "A", "") == "## A\n\n\n## B\n"
+    crlf = "## Alpha\r\n\r\nold\r\n\r\n## Beta\r\nb\r\n"
+    assert edits.replace_section(crlf, "Alpha", "one\ntwo\n\nthree") == "## Alpha\r\n\r\none\r\ntwo\r\n\r\nthree\r\n\r\n## Beta\r\nb\r\n"
+    assert edits.replace_section("## Alpha\n\nold\n\n## Beta\n", "Alpha", "one\r\ntwo") == "## Alpha\n\none\ntwo\n\n## Beta\n"
+    for refused in ("> ## Quoted\n> body\n\nafter\n", "Quoted"), ("## A\nx\n\n## B\ny\n", "A", "```\nopen"), ("## A\nx\n\n## B\ny\n", "A", "## C\nz"):
+        with pytest.raises(edits.EditRefused):
+            edits.replace_section(refused[0], refused[1], refused[2] if len(refused) > 2 else "new")
+    body = "## One\n\nContent.\n\n## Two\n"
+    assert edits.apply_edit(body, {"op": "append_to_section", "heading": "One", "content": "- line"}) == "## One\n\nContent.\n- line\n\n## Two\n"
+    assert edits.apply_edit("Alpha\n-----\n\nBody.\n", {"op": "insert_after_heading", "heading": "Alpha", "content": "LEAD."}) == "Alpha\n-----\nLEAD.\n\nBody.\n"
+    assert edits.apply_edit("## Tail", {"op": "append_to_section", "heading": "Tail", "content": "- item"}) == "## Tail\n- item\n"
+
+
+def test_fields_are_set_in_the_document_s_own_lines():
+    assert edits.set_field("---\r\na: 1\r\n---\r\nbody", "b", 2) == "---\r\na: 1\r\nb: 2\r\n---\r\nbody"
+    assert edits.set_field('---\n"a b": 1 # why\nc: 2\n---\n', "a b", "x") == '---\n"a b": "x" # why\nc: 2\n---\n'
+    assert edits.set_field("---\na: |\n  one\n  two\n\n# note\nb: 1\n---\n", "a", None) == "---\n\n# note\nb: 1\n---\n"
+    assert edits.set_field("---\n# only a comment\n---\nx", "title", "Hi") == '---\n# only a comment\ntitle: "Hi"\n---\nx'
+    assert edits.set_field("\ufeffbody", "a", True) == "\ufeff---\na: true\n---\nbody"
+    for text, value in (("---\n{a: 1, b: 2}\n---\n", 3), ("---\na: 1\n", 3), ("---\na: 1\n---\n", "x" * 17_000)):
+        with pytest.raises(edits.EditRefused):
+            edits.set_field(text, "a", value)
+    assert edits.render({"title": "no", "n": 1}, "b\n") == '---\ntitle: "no"\nn: 1\n---\nb\n'
+    with pytest.raises(edits.EditRefused):
+        edits.rewrite_wikilinks("[[a]]", "a", "b|c")
+
+
 def test_plan_refusals(spark):
     assert [r[0] for r in spark.createDataFrame([("ok",), ("a|b",), (" x",), ("Customer#1",)], "t string").select(plans.representable(F.col("t"))).collect()] == [True, False, False, False]
 

@@ -22,7 +22,8 @@ def count_by(documents: DataFrame, *fields: str) -> DataFrame:
 def fields(documents: DataFrame) -> DataFrame:
     """(path, field, value): every top-level frontmatter field with its text, null values kept as null."""
     keys = documents.filter("frontmatter is not null").select("path", "frontmatter", F.explode(F.json_object_keys("frontmatter")).alias("field"))
-    value = F.expr("get_json_object(frontmatter, concat('$[\\'', field, '\\']'))")
+    plain = F.expr("get_json_object(frontmatter, concat(\"$['\", field, \"']\"))")
+    value = F.when(F.col("field").rlike("['?*]"), F.try_element_at(F.from_json("frontmatter", "map<string,string>"), "field")).otherwise(plain)
     return keys.select("path", "field", value.alias("value"))
 
 

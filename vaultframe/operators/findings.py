@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.operators import orphans, paths, predicates as P, resolve
+from vaultframe.operators import orphans, paths, predicates as P, reads, resolve
 from vaultframe.session import skew_join
 
 COLUMNS = ["code", "severity", "path", "subject", "detail"]
@@ -58,8 +58,8 @@ def unread(documents: DataFrame) -> DataFrame:
 
 def links_missing(links: DataFrame, documents: DataFrame, headings: DataFrame) -> DataFrame:
     """link-target-missing and link-anchor-missing."""
-    lost = orphans.orphan_links(links, documents, headings).join(links.select("document", "ordinal", "target", "anchor").dropDuplicates(["document", "ordinal"]), ["document", "ordinal"])
-    named = lost.join(documents.select(F.col("doc_id").alias("document"), "path"), "document")
+    lost = orphans.orphan_links(links, documents, headings).join(reads.newest(links.select("document", "ordinal", "target", "anchor"), "document", "ordinal"), ["document", "ordinal"])
+    named = skew_join(lost, documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner")
     code = F.when(F.col("missing_in") == "documents", "link-target-missing").otherwise("link-anchor-missing")
     return named.select(code.alias("code"), F.lit("warning").alias("severity"), "path", F.col("target").alias("subject"), F.when(F.col("missing_in") == "headings", F.col("anchor")).alias("detail"))
 
@@ -67,30 +67,15 @@ def links_missing(links: DataFrame, documents: DataFrame, headings: DataFrame) -
 def block_missing(links: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """link-block-missing: a link, of either family, whose target names documents of which none has the block it asks for. An empty target
     is the link's own document. A target that names nothing is link-target-missing instead."""
-    asking = links.filter("protocol is null and block_ref is not null").dropDuplicates(["document", "ordinal"])
-    keyed = orphans.link_keys(asking, documents).select("document", "ordinal", F.explode("target_keys").alias("key"))
-    asks = keyed.join(asking.select("document", "ordinal", "target", "block_ref"), ["document", "ordinal"])
-    named = orphans.document_keys(documents)
-    known = named.select(F.explode("keys").alias("key")).distinct().withColumn("there", F.lit(1))
-    held = blocks.select(F.col("document").alias("doc_id"), F.col("block_id").alias("block_ref")).distinct().join(named, "doc_id")
-    held = held.select(F.explode("keys").alias("key"), "block_ref").distinct().withColumn("held", F.lit(1))
-    each = skew_join(asks.select("key", "block_ref").distinct(), known, "key", "inner").join(held, ["key", "block_ref"], "left")
-    verdict = each.select(_asked(), F.coalesce("held", F.lit(0)).alias("held"))
-    found = skew_join(asks.select("document", "ordinal", "target", "block_ref", _asked()), verdict, "asked", "inner")
-    lost = found.groupBy("document", "ordinal", "target", "block_ref").agg(F.max("held").alias("held")).filter("held = 0")
-    return _finding(lost.join(documents.select(F.col("doc_id").alias("document"), "path"), "document"), "link-block-missing", F.col("target"), F.col("block_ref"))
-
-
-def _asked() -> Column:
-    """A target key and a block id as one key."""
-    return F.concat(F.length("key").cast("string"), F.lit(":"), "key", "block_ref").alias("asked")
+    lost = resolve.blocks_missing(links, blocks, documents)
+    return _finding(skew_join(lost, documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner"), "link-block-missing", F.col("target"), F.col("block_ref"))
 
 
 def ambiguous(links: DataFrame, documents: DataFrame) -> DataFrame:
     """link-ambiguous: a suffix link with more than one candidate. Candidates are counted by distinct target."""
     several = resolve.candidates(links, documents).filter("total > 1").select("target", "total")
-    plain = links.filter("protocol is null and family = 'wikilink' and target <> ''").dropDuplicates(["document", "ordinal"])
-    hit = plain.join(several, "target").join(documents.select(F.col("doc_id").alias("document"), "path"), "document")
+    asked = resolve.plain(links, "family = 'wikilink' and target <> ''", "target")
+    hit = skew_join(skew_join(asked, several, "target", "inner"), documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner")
     return _finding(hit, "link-ambiguous", F.col("target"), F.col("total"))
 
 
@@ -109,13 +94,52 @@ def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """(facet, value, findings): codes, severities, subjects and first path segments ('root' at the top), all in one pass."""
+#: The subject of a rule about a field is the field's name; of a link it is the target.
+_FIELD_CODES = ["required-field-missing", "value-not-allowed", "field-type-invalid", "exceeds-max-length", "forbidden-field"]
+
+
+def summary(findings: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(facet, value, findings), all facets in one pass: code, severity, rule (by `rules`, from code to the rule's name), field, target,
+    disallowed_value, invalid_type and path_prefix (the first path segment, 'root' at the top). A finding counts in the facets it has."""
     prefix = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise("root")
-    facets = F.array(*[F.struct(F.lit(n).alias("facet"), c.alias("value")) for n, c in (("code", F.col("code")), ("severity", F.col("severity")), ("subject", F.coalesce("subject", F.lit("(none)"))), ("path_prefix", prefix))])
+    code, of_field = F.col("code"), F.col("code").isin(_FIELD_CODES)
+    named = F.create_map(*[F.lit(x) for kv in (rules or {"": ""}).items() for x in kv])[code]
+    values = {
+        "code": code, "severity": F.col("severity"), "rule": named, "field": F.when(of_field, F.col("subject")), "target": F.when(code.startswith("link-"), F.coalesce("subject", F.lit("(none)"))),
+        "disallowed_value": F.when(code == "value-not-allowed", F.col("detail")), "invalid_type": F.when(code == "field-type-invalid", F.col("subject")), "path_prefix": prefix,
+    }
+    facets = F.filter(F.array(*[F.struct(F.lit(n).alias("facet"), c.alias("value")) for n, c in values.items()]), lambda f: f["value"].isNotNull())
     return findings.select(F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("findings"))
 
 
+#: A stored finding. `id` is a hash of what the finding says, so the same finding has the same id wherever it is derived.
+RECORD = (
+    "id bigint, fingerprint string, generation bigint, kind string, severity string, path string, target string, candidates_total bigint, "
+    "candidates array<struct<path:string,suffix:string>>, class_keys array<string>, message string, detail string"
+)
+
+
+def records(found: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Findings as they are stored, but for fingerprint and generation: the class keys of link findings, and of ambiguous ones the head of
+    candidates by `heads` (target, total, head). Equal findings of one path are one record."""
+    link = F.col("code").startswith("link-")
+    target = F.when(link, F.col("subject"))
+    out = found.withColumn("target", target).withColumn("class_keys", F.when(link & (F.coalesce("subject", F.lit("")) != ""), class_keys(F.col("subject"))).otherwise(F.array().cast("array<string>")))
+    if heads is not None:
+        out = skew_join(out, heads.select("target", "total", "head"), "target", "left")
+    else:
+        out = out.withColumns({"total": F.lit(None).cast("bigint"), "head": F.lit(None).cast("array<string>")})
+    several = F.col("code") == "link-ambiguous"
+    message = F.concat_ws(": ", "code", F.when(~link, F.col("subject")), target, "detail")
+    shaped = out.select(
+        F.col("code").alias("kind"), "severity", "path", "target",
+        F.when(several, F.coalesce("total", F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).alias("candidates_total"),
+        F.when(several & F.col("head").isNotNull(), F.transform("head", lambda p: F.struct(p.alias("path"), paths.suffix_key(p).alias("suffix")))).otherwise(F.array().cast("array<struct<path:string,suffix:string>>")).alias("candidates"),
+        "class_keys", message.alias("message"), "detail",
+    ).distinct()
+    return shaped.select(F.xxhash64("kind", "path", "message").alias("id"), "*")
+
+
 def refused(heads: DataFrame) -> DataFrame:
     """Of (target, total, head) rows those that can't be recorded: a head of more than HEAD candidates, or of more than there are."""
     return heads.filter((F.size("head") > resolve.HEAD) | (F.size("head") > F.col("total")))
@@ -123,13 +147,12 @@ def refused(heads: DataFrame) -> DataFrame:
 
 def prune(findings: DataFrame, walked: DataFrame, accounted: DataFrame) -> DataFrame:
     """The findings that stay after a clean walk of the roots `walked` (root): those outside them, and those whose path the walk
-    accounted for (path). A root that wasn't walked cleanly isn't in `walked`, so nothing goes by absence alone."""
+    accounted for (path). A root that wasn't walked cleanly isn't in `walked`, so nothing goes by absence alone. Paths are judged, not
+    findings: a path is one row however many findings it has."""
     segs = F.split("path", "/")
-    keyed = findings.withColumn("id", F.monotonically_increasing_id())
-    above = keyed.select("id", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.concat_ws("/", F.slice(segs, 1, n))))).alias("root"))
-    inside = above.join(walked.select("root"), "root", "left_semi").select("id").distinct()
-    gone = keyed.join(inside, "id", "left_semi").join(accounted.select("path"), "path", "left_anti").select("id")
-    return keyed.join(gone, "id", "left_anti").drop("id")
+    above = findings.select("path").distinct().select("path", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.concat_ws("/", F.slice(segs, 1, n))))).alias("root"))
+    gone = above.join(walked.select("root"), "root", "left_semi").select("path").distinct().join(accounted.select("path"), "path", "left_anti")
+    return findings.join(gone, "path", "left_anti")
 
 
 def class_keys(target: Column) -> Column:
@@ -143,7 +166,13 @@ def affected_classes(changed: DataFrame) -> DataFrame:
 
 
 def discard_classes(findings: DataFrame, classes: DataFrame) -> DataFrame:
-    """Findings on a target none of whose classes is affected."""
-    keyed = findings.withColumn("id", F.monotonically_increasing_id())
-    hit = keyed.select("id", F.explode(class_keys(F.coalesce("subject", F.lit("")))).alias("class_key")).join(classes, "class_key", "left_semi").select("id")
-    return keyed.join(hit, "id", "left_anti").drop("id")
+    """Findings on a target none of whose classes is affected. Targets are judged, not findings."""
+    targets = findings.filter("subject is not null").select("subject").distinct()
+    hit = targets.select("subject", F.explode(class_keys(F.col("subject"))).alias("class_key")).join(classes, "class_key", "left_semi").select("subject").distinct()
+    return findings.join(hit, "subject", "left_anti")
+
+
+def withheld(findings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Findings that are to be recorded: those of a place (by kind) are withheld while a document stands at the place they are rendered at."""
+    place = F.col("kind").isin("document/path-refused", "document/path-not-utf8", "document/not-utf8")
+    return findings.filter(~place).unionByName(findings.filter(place).join(documents.select("path"), "path", "left_anti"))

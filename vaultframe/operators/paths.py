@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CONTROL = r"[\x00-\x1f\x7f]"
+#: The control characters of Unicode, C1 included.
+CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 
 
 def stem(leaf: Column) -> Column:
@@ -74,6 +75,23 @@ def ascii_fold(path: Column) -> Column:
     return F.translate(path, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def normal_refusal(path: Column) -> Column:
+    """Why an access path has no normal form, or null: nothing is left of it, it is absolute, or it has a `..`."""
+    segs = segments(path)
+    return (
+        F.when(path.isNull() | (path == ""), "empty")
+        .when(path.startswith("/"), "absolute")
+        .when(F.exists(segs, lambda s: s == ".."), "parent-traversal")
+        .when(F.forall(segs, lambda s: s.isin(".", "")), "empty")
+    )
+
+
+def normal(path: Column) -> Column:
+    """An access path without `.` segments and doubled separators; null where it is refused. `ascii_fold` of it is its identity in a vault
+    that folds case."""
+    return F.when(normal_refusal(path).isNull(), F.concat_ws("/", F.filter(segments(path), lambda s: ~s.isin(".", ""))))
+
+
 def normalize(segs: Column) -> Column:
     """Segments with '.' and empty ones dropped and '..' resolved; null if it climbs above the root."""
     start = F.array().cast("array<string>")

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 FRONTMATTER = "frontmatter"
 
 
-def _path(field: str) -> str:
-    return "$['" + field.replace("'", "\\'") + "']"
-
-
 def raw(field: str) -> Column:
-    """The field's text: a string without quotes, anything else as JSON; null if absent or null."""
-    return F.get_json_object(FRONTMATTER, _path(field))
+    """The field's text: a string without quotes, anything else as JSON; null if absent or null. A name that a JSON path can't spell is looked up
+    among all fields instead."""
+    if set(field) & set("'?*"):
+        return F.try_element_at(F.from_json(FRONTMATTER, "map<string,string>"), F.lit(field))
+    return F.get_json_object(FRONTMATTER, f"$['{field}']")
 
 
 def kind(field: str) -> Column:

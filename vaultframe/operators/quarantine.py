@@ -34,6 +34,9 @@ def quarantine_changes(found: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def rendered(path: Column) -> Column:
-    """A refused spelling made readable: control characters and backslashes become U+FFFD, empty and dot segments are marked. Total."""
-    segs = F.split(F.regexp_replace(F.coalesce(path, F.lit("")), r"[\x00-\x1f\x7f\\]", "�"), "/", -1)
-    return F.concat_ws("/", F.transform(segs, lambda s: F.when((s == "") | s.rlike(r"^\.+$"), F.concat(F.lit("�"), s)).otherwise(s)))
+    """A path spelling as a place that can be named: itself if it isn't refused; else control characters and backslashes become U+FFFD and
+    empty, `.` and `..` segments are marked, and if the leaf is refused still, the leaf is marked. Total."""
+    text = F.coalesce(path, F.lit(""))
+    segs = F.split(F.regexp_replace(text, paths.CONTROL + r"|\\", "\ufffd"), "/", -1)
+    marked = F.concat_ws("/", F.transform(segs, lambda s: F.when(s.isin("", ".", ".."), F.concat(F.lit("\ufffd"), s)).otherwise(s)))
+    return F.when(paths.refusal(text).isNull(), text).when(paths.refusal(marked).isNull(), marked).otherwise(F.regexp_replace(marked, "(?s)^(.*/)?([^/]*)$", "$1\ufffd$2"))

@@ -75,5 +75,40 @@ def suffix_candidates(documents: DataFrame, target: str) -> DataFrame:
 
 
 def newest(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows without their late repeats: one for each key."""
-    return df.dropDuplicates(list(keys))
+    """Rows without their late repeats: one for each key, the greatest of those that differ, so that any run keeps the same."""
+    rest = [c for c in df.columns if c not in keys]
+    kept = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_.{c}").alias(c) for c in df.columns])
+
+
+def finding_subjects(findings: DataFrame, documents: DataFrame, kinds: list[str], after: str | None, n: int) -> DataFrame:
+    """(path): the first n paths after a cursor with a finding of `kinds` and no document."""
+    return page(findings.filter(F.col("kind").isin(kinds)).select("path").join(documents.select("path"), "path", "left_anti").distinct(), "path", after, n)
+
+
+def findings_for_path(findings: DataFrame, path: str) -> DataFrame:
+    """A path's findings with their candidates, oldest first."""
+    return findings.filter(F.col("path") == path).orderBy("generation", "id")
+
+
+def finding_page(findings: DataFrame, after: int | None, n: int) -> DataFrame:
+    """The n findings after an id."""
+    past = findings if after is None else findings.filter(F.col("id") > after)
+    return past.orderBy("id").limit(_limit(n))
+
+
+def in_class(findings: DataFrame, class_key: str) -> DataFrame:
+    """Findings of an ambiguity class, each once: some class key of theirs is it or lies under it."""
+    return findings.filter(F.exists("class_keys", lambda k: k.startswith(class_key))).orderBy("id")
+
+
+def drain(df: DataFrame, key: str, n: int):
+    """All rows as keyset pages, each a list of rows: a page's last key is the next one's floor."""
+    after: str | None = None
+    while True:
+        rows = page(df, key, after, n).collect()
+        if rows:
+            yield rows
+        if len(rows) < n:
+            return
+        after = rows[-1][key]

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.operators import paths
+from vaultframe.operators import orphans, paths, reads
+from vaultframe.session import skew_join
 
 HEAD = 5
 
 
+def plain(links: DataFrame, condition: str, *columns: str) -> DataFrame:
+    """(document, ordinal, columns) of the links without a protocol that meet a condition, each once."""
+    return reads.newest(links.filter(f"protocol is null and {condition}").select("document", "ordinal", *columns), "document", "ordinal")
+
+
 def mode(df: DataFrame) -> DataFrame:
     """Adds `resolution`: protocol first, family second."""
     return df.withColumn("resolution", F.when(F.col("protocol").isNotNull(), "protocol").when(F.col("family") == "wikilink", "suffix").otherwise("relative"))
@@ -22,15 +28,15 @@ def called(documents: DataFrame) -> DataFrame:
 
 def suffix_links(links: DataFrame) -> DataFrame:
     """(document, ordinal, form): suffix links, one row for each spelling they probe."""
-    plain = links.filter("protocol is null and family = 'wikilink' and target <> ''").dropDuplicates(["document", "ordinal"])
-    return plain.select("document", "ordinal", F.explode(paths.suffix_forms(F.col("target"))).alias("form"))
+    asked = plain(links, "family = 'wikilink' and target <> ''", "target")
+    return asked.select("document", "ordinal", F.explode(paths.suffix_forms(F.col("target"))).alias("form"))
 
 
 def markdown_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """(document, ordinal, anchor, there): Markdown links and the vault path they name, null above the root."""
-    plain = links.filter("protocol is null and family = 'markdown' and target <> ''").dropDuplicates(["document", "ordinal"])
+    asked = plain(links, "family = 'markdown' and target <> ''", "target", "anchor")
     home = documents.select(F.col("doc_id").alias("document"), F.col("path").alias("home"))
-    return plain.join(home, "document").select("document", "ordinal", "anchor", paths.relative(F.col("home"), F.col("target")).alias("there"))
+    return skew_join(asked, home, "document", "inner").select("document", "ordinal", "anchor", paths.relative(F.col("home"), F.col("target")).alias("there"))
 
 
 def backlinks(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def backlinks(links: DataFrame, documents: DataFrame) -> DataFrame:
     asked = suffix_links(links).groupBy(F.col("form").alias("called")).agg(F.count(F.lit(1)).alias("n"))
     by_suffix = called(documents).select("path", "called").join(asked, "called").select("path", "n")
     by_path = markdown_links(links, documents).filter("there is not null").groupBy(F.col("there").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    own = links.filter("protocol is null and target = ''").dropDuplicates(["document", "ordinal"]).groupBy(F.col("document").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    own = links.filter("protocol is null and target = ''").select("document", "ordinal").distinct().groupBy(F.col("document").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
     itself = own.join(documents.select("doc_id", "path"), "doc_id").select("path", "n")
     found = by_suffix.unionByName(by_path.join(documents.select("path"), "path", "left_semi").select("path", "n")).unionByName(itself)
     counts = found.groupBy("path").agg(F.sum("n").alias("backlinks"))
@@ -65,3 +71,67 @@ def minimal_suffix(documents: DataFrame) -> DataFrame:
     alone = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("depth", "path")).alias("one")).filter("n = 1")
     best = alone.groupBy(F.col("one.path").alias("path")).agg(F.min(F.struct(F.col("one.depth").alias("depth"), "key")).alias("m"))
     return documents.select("path").join(best, "path", "left").select("path", F.col("m.key").alias("minimal"))
+
+
+#: Why a link resolves to no one document.
+REASONS = ["target-missing", "ambiguous", "anchor-missing", "block-ref-missing"]
+
+
+def naming(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document, ordinal, doc_id): every document that a link of either family names, one row each; an empty target is the link's own document.
+    Distinct targets meet the documents first, so a target's candidates are found once, however many links have it."""
+    keyed = orphans.link_keys(reads.newest(links.filter("protocol is null").select("document", "ordinal", "family", "protocol", "target", "anchor"), "document", "ordinal"), documents)
+    asks = keyed.select("document", "ordinal", F.explode("target_keys").alias("key"))
+    named = orphans.document_keys(documents).select("doc_id", F.explode("keys").alias("key"))
+    each = asks.select("key").distinct().join(named, "key").groupBy("key").agg(F.collect_list("doc_id").alias("ids"))
+    return skew_join(asks, each, "key", "inner").select("document", "ordinal", F.explode("ids").alias("doc_id")).distinct()
+
+
+def outcomes(links: DataFrame, documents: DataFrame, headings: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """(document, ordinal, total, reason): how each link without a protocol resolves: the number of documents it names, and the first of
+    REASONS that holds, null if it names one document and the anchor or block it asks for is in it."""
+    once = reads.newest(links.filter("protocol is null").select("document", "ordinal", "family", "protocol", "target", "anchor", "block_ref"), "document", "ordinal")
+    keyed = orphans.link_keys(once, documents).select("document", "ordinal", F.explode("target_keys").alias("key"))
+    totals = orphans.document_keys(documents).select("doc_id", F.explode("keys").alias("key"))
+    counts = keyed.select("key").distinct().join(totals, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # the spellings a target probes name disjoint documents: a path's own name with the extension dropped is one string
+    named = skew_join(keyed, counts, "key", "inner").groupBy("document", "ordinal").agg(F.sum("n").alias("total"))
+    lost = orphans.orphan_links(links, documents, headings).filter("missing_in = 'headings'").select("document", "ordinal", F.lit(True).alias("no_anchor"))
+    out = once.select("document", "ordinal").join(named, ["document", "ordinal"], "left").join(lost, ["document", "ordinal"], "left")
+    missing_block = F.lit(False)
+    if blocks is not None:
+        out = out.join(blocks_missing(links, blocks, documents).select("document", "ordinal", F.lit(True).alias("no_block")), ["document", "ordinal"], "left")
+        missing_block = F.coalesce("no_block", F.lit(False))
+    total = F.coalesce("total", F.lit(0).cast("bigint"))
+    reason = F.when(total == 0, REASONS[0]).when(total > 1, REASONS[1]).when(F.coalesce("no_anchor", F.lit(False)), REASONS[2]).when(missing_block, REASONS[3])
+    return out.select("document", "ordinal", total.alias("total"), reason.alias("reason"))
+
+
+def blocks_missing(links: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document, ordinal, target, block_ref): links, of either family, whose target names documents of which none has the block they ask for."""
+    asking = reads.newest(links.filter("protocol is null and block_ref is not null").select("document", "ordinal", "family", "protocol", "target", "anchor", "block_ref"), "document", "ordinal")
+    keyed = orphans.link_keys(asking, documents).select("document", "ordinal", F.explode("target_keys").alias("key"))
+    asks = keyed.join(asking.select("document", "ordinal", "target", "block_ref"), ["document", "ordinal"])
+    named = orphans.document_keys(documents)
+    known = named.select(F.explode("keys").alias("key")).distinct()
+    held = blocks.select(F.col("document").alias("doc_id"), F.col("block_id").alias("block_ref")).distinct().join(named, "doc_id")
+    held = held.select(F.explode("keys").alias("key"), "block_ref").distinct().withColumn("held", F.lit(1))
+    each = skew_join(asks.select("key", "block_ref").distinct(), known, "key", "inner").join(held, ["key", "block_ref"], "left")
+    asked = F.concat(F.length("key").cast("string"), F.lit(":"), "key", "block_ref").alias("asked")  # a target key and a block id as one key
+    verdict = each.select(asked, F.coalesce("held", F.lit(0)).alias("held"))
+    found = skew_join(asks.select("document", "ordinal", "target", "block_ref", asked), verdict, "asked", "inner")
+    return found.groupBy("document", "ordinal", "target", "block_ref").agg(F.max("held").alias("held")).filter("held = 0").drop("held")
+
+
+def links_to(links: DataFrame, documents: DataFrame, targets: list[str]) -> DataFrame:
+    """(doc_id): documents with an outgoing link, of either family, to each of the targets. A target is a path or a suffix that names one
+    document; it and links that name several documents resolve to none. The targets are a request's, so they're broadcast."""
+    spark = documents.sparkSession
+    asked = spark.createDataFrame([(t,) for t in sorted(set(targets))], "asked string")
+    forms = asked.select("asked", F.explode(paths.suffix_forms(F.col("asked"))).alias("called"))
+    by_suffix = called(documents).join(F.broadcast(forms), "called").select("asked", "doc_id")
+    by_path = documents.join(F.broadcast(asked.withColumn("path", F.col("asked"))), "path").select("asked", "doc_id")
+    alone = by_suffix.unionByName(by_path).groupBy("asked").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("to")).filter("n = 1").select("asked", "to")
+    single = naming(links, documents).groupBy("document", "ordinal").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("to")).filter("n = 1").select("document", "to").distinct()
+    found = single.join(F.broadcast(alone), "to").groupBy("document").agg(F.count_distinct("asked").alias("n"))
+    return found.filter(F.col("n") == len(set(targets))).select(F.col("document").alias("doc_id"))
