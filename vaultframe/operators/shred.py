@@ -15,18 +15,21 @@ rebuilding objects needs no distinct and no shuffle.
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.session import spread
+from vaultframe.session import slices, spread
 
 ITEM = "~"
 LEVELS = "{key} {key_type}, path string, kind string, fresh int, repetition array<int>, definition array<int>, value array<string>"
 _MISSING = object()
+#: Bytes of JSON that a task has shredded rows of at once; a longer record is alone.
+CHUNK_BYTES = 2_000_000
 
 
 class _Scalar(str):
@@ -47,43 +50,120 @@ def escape(name: str) -> str:
     return name.replace("~", "~0").replace("/", "~1")
 
 
-def _learn(node: _Node, x) -> None:
-    """The record's own schema: which kinds each place takes."""
-    if isinstance(x, dict):
-        node.is_object = True
-        for k, v in x.items():
-            child = node.fields.get(k)
-            if child is None:
-                child = node.fields[k] = _Node()
-            _learn(child, v)
-    elif isinstance(x, list):
-        node.is_array = True
-        for v in x:
-            if node.item is None:
-                node.item = _Node()
-            _learn(node.item, v)
-    else:
-        node.is_value = True
+# All walks below keep their own stacks, so that a record may be as deep as it likes.
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def _key(text: str, i: int) -> tuple[str, int]:
+    if text[i : i + 1] != '"':
+        raise ValueError("a name is missing")
+    name, i = scanstring(text, i + 1, True)
+    i = _SPACE.match(text, i).end()
+    if text[i : i + 1] != ":":
+        raise ValueError("a colon is missing")
+    return name, _SPACE.match(text, i + 1).end()
+
+
+def _deep_loads(text: str):
+    """What json.loads gives, for records nested more deeply than it can go."""
+    boxes, keys = [], []
+    i = _SPACE.match(text, 0).end()
+    while True:
+        c = text[i : i + 1]
+        if c and c in "{[":
+            box: dict | list = {} if c == "{" else []
+            i = _SPACE.match(text, i + 1).end()
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                boxes.append(box)
+                if c == "{":
+                    name, i = _key(text, i)
+                    keys.append(name)
+                continue
+            value, i = box, i + 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif number := _NUMBER.match(text, i):
+            value, i = _Scalar(number.group()), number.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, i)), None)
+            if word is None:
+                raise ValueError("no JSON")
+            value, i = _WORDS[word], i + len(word)
+        while True:  # the value's place; and that of the box it closes, and so on
+            i = _SPACE.match(text, i).end()
+            if not boxes:
+                if i < len(text):
+                    raise ValueError("more than one value")
+                return value
+            box = boxes[-1]
+            if isinstance(box, dict):
+                box[keys.pop()] = value
+            else:
+                box.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i = _SPACE.match(text, i + 1).end()
+                if isinstance(box, dict):
+                    name, i = _key(text, i)
+                    keys.append(name)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError("a box is open")
+            value, i = boxes.pop(), i + 1
 
 
-def _leaves(node: _Node, steps: tuple[str, ...], out: list) -> None:
-    """Gives each leaf its column, depth first, so that a place's columns stand together."""
-    if node.is_object:
-        if node.fields:
-            for k, child in node.fields.items():
-                _leaves(child, (*steps, escape(k)), out)
+def _learn(root: _Node, record) -> None:
+    """The record's own schema: which kinds each place takes."""
+    todo = [(root, record)]
+    while todo:
+        node, x = todo.pop()
+        if isinstance(x, dict):
+            node.is_object = True
+            for k in x:
+                if k not in node.fields:
+                    node.fields[k] = _Node()
+            todo += [(node.fields[k], v) for k, v in reversed(x.items())]
+        elif isinstance(x, list):
+            node.is_array = True
+            if x and node.item is None:
+                node.item = _Node()
+            todo += [(node.item, v) for v in reversed(x)]
         else:
-            node.object_leaf = (steps, "object", [], [], [])
-            out.append(node.object_leaf)
-    if node.is_array:
-        if node.item is not None:
-            _leaves(node.item, (*steps, ITEM), out)
+            node.is_value = True
+
+
+def _leaves(root: _Node) -> list:
+    """Gives each leaf its column, depth first, so that a place's columns stand together. A step is linked to the one above it."""
+    out: list = []
+
+    def leaf(kind: str, step: tuple | None) -> tuple:
+        steps = []
+        while step:
+            steps.append(step[1])
+            step = step[0]
+        out.append((tuple(reversed(steps)), kind, [], [], []))
+        return out[-1]
+
+    todo: list = [(root, None, None)]
+    while todo:
+        node, step, kind = todo.pop()
+        if kind == "object":
+            node.object_leaf = leaf(kind, step)
+        elif kind == "array":
+            node.array_leaf = leaf(kind, step)
+        elif kind == "value":
+            node.value_leaf = leaf(kind, step)
         else:
-            node.array_leaf = (steps, "array", [], [], [])
-            out.append(node.array_leaf)
-    if node.is_value:
-        node.value_leaf = (steps, "value", [], [], [])
-        out.append(node.value_leaf)
+            if node.is_value:
+                todo.append((node, step, "value"))
+            if node.is_array:
+                todo.append((node, step, "array") if node.item is None else (node.item, (step, ITEM), None))
+            if node.is_object:
+                todo += [(child, (step, escape(k)), None) for k, child in reversed(node.fields.items())] or [(node, step, "object")]
+    return out
 
 
 def _put(leaf: tuple, r: int, d: int, value: str | None = None) -> None:
@@ -92,60 +172,51 @@ def _put(leaf: tuple, r: int, d: int, value: str | None = None) -> None:
     leaf[4].append(value)
 
 
-def _absent_object(node: _Node, r: int, d: int) -> None:
-    if node.object_leaf:
-        _put(node.object_leaf, r, d)
-    for child in node.fields.values():
-        _stripe(child, _MISSING, r, d, 0)
-
-
-def _absent_array(node: _Node, r: int, d: int) -> None:
-    if node.array_leaf:
-        _put(node.array_leaf, r, d)
-    elif node.item is not None:
-        _stripe(node.item, _MISSING, r, d, 0)
-
-
-def _stripe(node: _Node, x, r: int, d: int, arrays: int) -> None:
-    if node.is_object:
-        if isinstance(x, dict):
+def _stripe(root: _Node, record) -> None:
+    """Puts the record's values and levels in its leaves' columns, in record order."""
+    todo = [(root, record, 0, 0, 0)]
+    while todo:
+        node, x, r, d, arrays = todo.pop()
+        if node.is_object:
+            there = isinstance(x, dict)
             if node.object_leaf:
-                _put(node.object_leaf, r, d + 1)
+                _put(node.object_leaf, r, d + there)
             for k, child in node.fields.items():
-                v = x.get(k, _MISSING)
-                _stripe(child, v, r, d + (1 if v is _MISSING else 2), arrays)
-        else:
-            _absent_object(node, r, d)
-    if node.is_array:
-        if isinstance(x, list):
+                v = x.get(k, _MISSING) if there else _MISSING
+                todo.append((child, v, r, d + (0 if not there else 1 if v is _MISSING else 2), arrays if there else 0))
+        if node.is_array:
+            there = isinstance(x, list)
             if node.array_leaf:
-                _put(node.array_leaf, r, d + 1)
-            elif not x:
-                _stripe(node.item, _MISSING, r, d + 1, 0)
-            for i, v in enumerate(x):
-                _stripe(node.item, v, r if i == 0 else arrays + 1, d + 2, arrays + 1)
-        else:
-            _absent_array(node, r, d)
-    if node.is_value:
-        if x is _MISSING or isinstance(x, (dict, list)):
-            _put(node.value_leaf, r, d)
-        else:
-            _put(node.value_leaf, r, d + 1, str(x) if isinstance(x, _Scalar) else json.dumps(x, ensure_ascii=False))
+                _put(node.array_leaf, r, d + there)
+            elif not there or not x:
+                todo.append((node.item, _MISSING, r, d + there, 0))
+            else:
+                todo += [(node.item, x[i], r if i == 0 else arrays + 1, d + 2, arrays + 1) for i in range(len(x) - 1, -1, -1)]
+        if node.is_value:
+            if x is _MISSING or isinstance(x, (dict, list)):
+                _put(node.value_leaf, r, d)
+            else:
+                _put(node.value_leaf, r, d + 1, str(x) if isinstance(x, _Scalar) else json.dumps(x, ensure_ascii=False))
 
 
 def shred_record(text: str | None) -> list[tuple[str, str, int, list[int], list[int], list[str | None]]]:
-    """(path, kind, fresh, repetition, definition, value) of each leaf path. None for null, blank or unreadable text: no rows."""
+    """(path, kind, fresh, repetition, definition, value) of each leaf path. No rows for null, blank or unreadable text; a record of any depth
+    is read."""
     if text is None:
         return []
     try:
         record = json.loads(text, parse_float=_Scalar, parse_int=_Scalar)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            record = _deep_loads(text)
+        except ValueError:
+            return []
+    except ValueError:
         return []
     root = _Node()
     _learn(root, record)
-    leaves: list = []
-    _leaves(root, (), leaves)
-    _stripe(root, record, 0, 0, 0)
+    leaves = _leaves(root)
+    _stripe(root, record)
     out, before = [], ()
     for steps, kind, rep, dfn, values in leaves:
         shared = 0
@@ -175,8 +246,7 @@ def shred(df: DataFrame, key: str, column: str) -> DataFrame:
     schema = LEVELS.format(key="record", key_type=dict(df.dtypes)[key])
 
     def stripe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        for batch in batches:
+        for batch in slices(batches, 1, CHUNK_BYTES):
             rows, at = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = shred_record(text)
