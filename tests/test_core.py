@@ -235,3 +235,58 @@ def test_missing_blocks_across_documents(spark):
     links = spark.createDataFrame([(*r, None) for r in rows], "document bigint, ordinal int, family string, protocol string, target string, block_ref string, anchor string")
     got = sorted((r["path"], r["subject"], r["detail"]) for r in findings.block_missing(links, blocks, docs).collect())
     assert got == [("a/one.md", "", "gone"), ("a/one.md", "a/two", "y"), ("a/two.md", "one", "gone"), ("a/two.md", "one.md", "gone")]
+
+
+def test_records_of_any_depth(spark):
+    deep = '{"o": {"k": 1}, "a": ' + "[" * 60_000 + "]" * 60_000 + "}"
+    assert shred._deep_loads('{"a": [1.0, {"b": "\\u00e9"}, [], {}, null, true], "c": -2e5}') == {"a": ["1.0", {"b": "é"}, [], {}, None, True], "c": "-2e5"}
+    for bad in ("", "[", "[1,]", '{"a" 1}', '{"a":1,}', "1 2", "[1}", "nope"):
+        with pytest.raises(ValueError):
+            shred._deep_loads(bad)
+    df = spark.createDataFrame([(1, deep), (2, "[" * 60_000)], "id int, j string")
+    assert [tuple(r) for r in shred.objects(shred.shred(df, "id", "j")).collect()] == [(1, "/o", "")]
+    cell = shred.cells(shred.shred(df, "id", "j")).filter("value = '1'").collect()
+    assert [(r["record"], r["table"], r["column"]) for r in cell] == [(1, "", "o/k")]
+
+
+def test_a_cluster_must_name_its_checkpoint_folder(monkeypatch):
+    from types import SimpleNamespace as S
+
+    from vaultframe import session
+
+    conf = {}
+    spark = S(sparkContext=S(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(spark)
+    conf["spark.checkpoint.dir"] = "hdfs://shared/x/"
+    assert session.checkpoint_dir(spark) == "hdfs://shared/x"
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_skew_join_with_many_hot_keys(spark, how):
+    from vaultframe.session import hot_keys, skew_join
+
+    left = spark.range(5000).select((F.col("id") % 900).alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k bigint, id bigint"))
+    right = spark.range(0, 1800, 2).select(F.col("id").alias("k"), F.lit("r").alias("v"))
+    assert len(hot_keys(left, "k", rows=4)) == 900
+    got = skew_join(left, right, "k", how, rows=4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_scratch_deletes_what_was_written(spark):
+    from pathlib import Path
+
+    from vaultframe.session import materialize, scratch
+
+    with scratch():
+        at = materialize(spark.range(3).toDF("id"), "t").inputFiles()[0]
+        assert Path(at.removeprefix("file://").removeprefix("file:")).exists()
+    assert not Path(at.removeprefix("file://").removeprefix("file:")).exists()
+
+
+def test_missing_keys_in_small_ranges(spark):
+    parents = spark.createDataFrame([(f"k{i}é",) for i in range(0, 400, 2)], "key string")
+    probes = spark.createDataFrame([(f"k{i % 300}é",) for i in range(900)] + [(None,), ("",)], "key string")
+    want = sorted([f"k{i}é" for i in range(1, 300, 2)] + [""])
+    for ranges in (None, 1, 7):
+        assert sorted(r[0] for r in orphans.missing_keys(parents, probes, ranges=ranges).collect()) == want

@@ -1,6 +1,6 @@
 """References to records that do not exist (problem 5).
 
-`missing_keys` is the operator: parents and probes are range-partitioned by key; a range's parents become one sorted array,
+`missing_keys` is the operator: parents and probes are range-partitioned by their key's hash; a range's parents become one sorted array,
 and batches of probes are looked up in it by binary search. Both sides are distinct before they move, so that a key held by a
 third of all references travels once. `orphan_links` states the vault's rules with it: every link becomes the keys its target
 and anchor may match, and a reference is an orphan if none of its keys has a parent.
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,34 +20,52 @@ from vaultframe.operators import paths
 from vaultframe.session import materialize, skew_join
 
 
+#: Distinct keys of both sides that a range is made for, by default.
+RANGE_KEYS = 2_000_000
+
+
 def missing_keys(parents: DataFrame, probes: DataFrame, key: str = "key", ranges: int | None = None) -> DataFrame:
     """The distinct non-null probes that are no parent, as (key). Compares bytes.
 
-    Null keys take no part. Empty sides are fine: without parents all probes are missing. Repeated keys count once; other columns
-    are ignored. One range holds its share of the distinct parents as an array: raise `ranges` (by default
-    spark.sql.shuffle.partitions) to make it smaller."""
+    Keys of both sides are range-partitioned by a 64-bit hash of the key, drawn evenly however alike the keys are, and a range's parents are held
+    as the sorted array of their hashes, in which a batch of probes is found by one vectorised binary search; only where hashes meet are the
+    bytes compared. Null keys take no part. Empty sides are fine: without parents all probes are missing. Repeated keys count once;
+    other columns are ignored. `ranges`: by default as many as give each RANGE_KEYS rows, and no fewer than spark.sql.shuffle.partitions."""
     spark = parents.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = parents.select(F.col(key).alias("key")).filter("key is not null").distinct().withColumn("probe", F.lit(False))
     asked = probes.select(F.col(key).alias("key")).filter("key is not null").distinct().withColumn("probe", F.lit(True))
-    ranged = own.unionByName(asked).repartitionByRange(n, "key").sortWithinPartitions("probe", "key")
+    both = own.unionByName(asked).withColumn("h", F.xxhash64("key"))
+    n = ranges
+    if n is None:
+        both = materialize(both, "keys")  # also what the ranges' bounds are drawn from, so that the sides aren't derived twice
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // RANGE_KEYS))
+    ranged = both.repartitionByRange(n, "h").sortWithinPartitions("probe", "h")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
+        names: list[pa.Array] = []
         for batch in batches:
-            keys = batch.column(0).cast(pa.binary()).to_numpy(zero_copy_only=False)
-            probe = batch.column(1).to_numpy(zero_copy_only=False)
-            if not probe.all():
-                held.append(keys[~probe])
-            if probe.any():
-                if len(held) != 1:
-                    held = [np.concatenate(held) if held else np.zeros(0, object)]
-                parent, asks = held[0], keys[probe]
-                at = np.searchsorted(parent, asks)
-                found = np.zeros(len(asks), bool)
-                inside = at < len(parent)
-                found[inside] = parent[at[inside]] == asks[inside]
-                yield pa.RecordBatch.from_arrays([pa.array(asks[~found], pa.binary()).cast(pa.string())], names=["key"])
+            keys, probe, h = batch.column(0).cast(pa.large_binary()), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            first = int(np.searchsorted(probe, True))  # parents come first
+            if first:
+                hashes.append(h[:first].copy())
+                names.append(keys.slice(0, first))
+            if first < len(h):
+                if len(hashes) != 1:
+                    hashes = [np.concatenate(hashes) if hashes else np.zeros(0, np.int64)]
+                    names = [pa.concat_arrays(names) if names else pa.array([], pa.large_binary())]
+                parent, asks, asked = hashes[0], keys.slice(first), h[first:]
+                low, high = np.searchsorted(parent, asked, "left"), np.searchsorted(parent, asked, "right")
+                found = np.zeros(len(asked), bool)
+                step = 0
+                while True:  # one round, but for hashes that several parents share
+                    open_ = np.flatnonzero(~found & (low + step < high))
+                    if not len(open_):
+                        break
+                    same = pc.equal(names[0].take(pa.array(low[open_] + step)), asks.take(pa.array(open_)))
+                    found[open_] = same.to_numpy(zero_copy_only=False)
+                    step += 1
+                yield pa.RecordBatch.from_arrays([asks.filter(pa.array(~found)).cast(pa.large_string()).cast(pa.string())], names=["key"])
 
     return ranged.mapInArrow(search, "key string")
 
