@@ -143,7 +143,10 @@ def apply_edit(body: str, op: dict) -> str:
     if kind == "delete_section":
         return _spliced(body, s.start, s.end, "")
     if kind == "insert_before_heading":
-        return _put(body, s.start, content)
+        try:
+            return _put(body, s.start, content)
+        except EditRefused:  # an underlined heading would take the content for its own text
+            return _put(body, s.start, _lines(content, line_end(body)) + line_end(body))
     if kind == "insert_after_heading":
         return _put(body, s.body, content)
     if s.content == s.content_end:
