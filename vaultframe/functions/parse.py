@@ -79,3 +79,9 @@ def parse(df: DataFrame, key: str, text: str) -> DataFrame:
 def facts(parsed: DataFrame, key: str, name: str) -> DataFrame:
     """One of the fact tables: headings, links, tags or blocks, a row a fact."""
     return parsed.select(F.col(key).alias("document"), F.explode(name).alias("f")).select("document", "f.*")
+
+
+def block_ids(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(document, ordinal, block_id, spans): the block ids of texts. Only texts with a line that ends like one are parsed."""
+    may = df.filter(F.col(text).rlike(r"(?m)(^|\s)\^[A-Za-z0-9_-]+\s*$"))
+    return facts(parse(may, key, text), key, "blocks")

@@ -41,3 +41,15 @@ def describe(documents: DataFrame) -> DataFrame:
         .agg(F.count("value").alias("present"), F.count_distinct("value").alias("distinct_values"), F.min(day).alias("first_date"), F.max(day).alias("last_date"))
         .withColumn("unique_like", (F.col("present") > 0) & (F.col("present") == F.col("distinct_values")))
     )
+
+
+def structure(documents: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(facet, name, documents): how many documents lie under each folder, at any depth, match each rule's glob ('rule'), match none ('unruled'),
+    and are there in all ('total'). One pass, one shuffle."""
+    segs = F.split("path", "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(segs) - 1), lambda n: n > 0), lambda n: F.struct(F.lit("folder").alias("facet"), F.concat_ws("/", F.slice(segs, 1, n)).alias("name")))
+    hits = {n: F.coalesce(P.path_glob(g), F.lit(False)) for n, g in (rules or {}).items()}
+    ruled = F.filter(F.array(*[F.struct(F.lit("rule").alias("facet"), F.when(h, F.lit(n)).alias("name")) for n, h in hits.items()]) if hits else above, lambda x: (x["facet"] == "rule") & x["name"].isNotNull())
+    none = F.array(F.struct(F.lit("unruled").alias("facet"), F.when(F.size(ruled) == 0, F.lit("")).alias("name")), F.struct(F.lit("total").alias("facet"), F.lit("").alias("name")))
+    all_ = F.filter(F.concat(above, ruled, none), lambda x: x["name"].isNotNull())
+    return documents.select(F.explode(all_).alias("f")).groupBy("f.facet", "f.name").agg(F.count(F.lit(1)).alias("documents"))

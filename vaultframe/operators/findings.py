@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.operators import orphans, paths, predicates as P, reads, resolve
-from vaultframe.session import skew_join
+from vaultframe.session import materialize, skew_join
 
 COLUMNS = ["code", "severity", "path", "subject", "detail"]
 
@@ -58,7 +58,7 @@ def unread(documents: DataFrame) -> DataFrame:
 
 def links_missing(links: DataFrame, documents: DataFrame, headings: DataFrame) -> DataFrame:
     """link-target-missing and link-anchor-missing."""
-    lost = orphans.orphan_links(links, documents, headings).join(reads.newest(links.select("document", "ordinal", "target", "anchor"), "document", "ordinal"), ["document", "ordinal"])
+    lost = materialize(orphans.orphan_links(links, documents, headings).join(reads.newest(links.select("document", "ordinal", "target", "anchor"), "document", "ordinal"), ["document", "ordinal"]), "lost")
     named = skew_join(lost, documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner")
     code = F.when(F.col("missing_in") == "documents", "link-target-missing").otherwise("link-anchor-missing")
     return named.select(code.alias("code"), F.lit("warning").alias("severity"), "path", F.col("target").alias("subject"), F.when(F.col("missing_in") == "headings", F.col("anchor")).alias("detail"))
@@ -67,7 +67,7 @@ def links_missing(links: DataFrame, documents: DataFrame, headings: DataFrame) -
 def block_missing(links: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """link-block-missing: a link, of either family, whose target names documents of which none has the block it asks for. An empty target
     is the link's own document. A target that names nothing is link-target-missing instead."""
-    lost = resolve.blocks_missing(links, blocks, documents)
+    lost = materialize(resolve.blocks_missing(links, blocks, documents), "lost")
     return _finding(skew_join(lost, documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner"), "link-block-missing", F.col("target"), F.col("block_ref"))
 
 
@@ -75,7 +75,7 @@ def ambiguous(links: DataFrame, documents: DataFrame) -> DataFrame:
     """link-ambiguous: a suffix link with more than one candidate. Candidates are counted by distinct target."""
     several = resolve.candidates(links, documents).filter("total > 1").select("target", "total")
     asked = resolve.plain(links, "family = 'wikilink' and target <> ''", "target")
-    hit = skew_join(skew_join(asked, several, "target", "inner"), documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner")
+    hit = skew_join(materialize(skew_join(asked, several, "target", "inner"), "ambiguous"), documents.select(F.col("doc_id").alias("document"), "path"), "document", "inner")
     return _finding(hit, "link-ambiguous", F.col("target"), F.col("total"))
 
 
@@ -94,6 +94,21 @@ def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def triage(findings: DataFrame, codes: list[str] | None = None, severities: list[str] | None = None, paths_: list[str] | None = None, subjects: list[str] | None = None) -> DataFrame:
+    """Findings that pass every kind of filter given, each by any of its values: codes and paths are globs."""
+    some = lambda c, globs: reduce(lambda a, b: a | b, [c.rlike("(?s)" + P.glob_regex(g)) for g in globs])
+    out = findings
+    if codes:
+        out = out.filter(some(F.col("code"), codes))
+    if severities:
+        out = out.filter(F.col("severity").isin(severities))
+    if paths_:
+        out = out.filter(some(F.col("path"), paths_))
+    if subjects:
+        out = out.filter(F.col("subject").isin(subjects))
+    return out
+
+
 #: The subject of a rule about a field is the field's name; of a link it is the target.
 _FIELD_CODES = ["required-field-missing", "value-not-allowed", "field-type-invalid", "exceeds-max-length", "forbidden-field"]
 
@@ -114,7 +129,7 @@ def summary(findings: DataFrame, rules: dict[str, str] | None = None) -> DataFra
 
 #: A stored finding. `id` is a hash of what the finding says, so the same finding has the same id wherever it is derived.
 RECORD = (
-    "id bigint, fingerprint string, generation bigint, kind string, severity string, path string, target string, candidates_total bigint, "
+    "id string, fingerprint string, generation bigint, kind string, severity string, path string, target string, candidates_total bigint, "
     "candidates array<struct<path:string,suffix:string>>, class_keys array<string>, message string, detail string"
 )
 
@@ -124,7 +139,7 @@ def records(found: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     candidates by `heads` (target, total, head). Equal findings of one path are one record."""
     link = F.col("code").startswith("link-")
     target = F.when(link, F.col("subject"))
-    out = found.withColumn("target", target).withColumn("class_keys", F.when(link & (F.coalesce("subject", F.lit("")) != ""), class_keys(F.col("subject"))).otherwise(F.array().cast("array<string>")))
+    out = materialize(found, "found").withColumn("target", target).withColumn("class_keys", F.when(link & (F.coalesce("subject", F.lit("")) != ""), class_keys(F.col("subject"))).otherwise(F.array().cast("array<string>")))
     if heads is not None:
         out = skew_join(out, heads.select("target", "total", "head"), "target", "left")
     else:
@@ -137,7 +152,7 @@ def records(found: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         F.when(several & F.col("head").isNotNull(), F.transform("head", lambda p: F.struct(p.alias("path"), paths.suffix_key(p).alias("suffix")))).otherwise(F.array().cast("array<struct<path:string,suffix:string>>")).alias("candidates"),
         "class_keys", message.alias("message"), "detail",
     ).distinct()
-    return shaped.select(F.xxhash64("kind", "path", "message").alias("id"), "*")
+    return shaped.select(F.md5(F.concat_ws("\n", "kind", "path", "message")).alias("id"), "*")
 
 
 def refused(heads: DataFrame) -> DataFrame:

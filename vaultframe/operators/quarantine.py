@@ -12,10 +12,11 @@ PLACE_KINDS = ["document/path-refused", "document/path-not-utf8", "document/not-
 DOCUMENT_KINDS = ["document/frontmatter-unclosed", "document/frontmatter-too-large", "document/frontmatter-unreadable"]
 
 
-def kind(path: Column, text: Column, status: Column) -> Column:
-    """The finding of one read file, or null. The path is judged before the content."""
+def kind(path: Column, text: Column, status: Column, path_is_utf8: Column | None = None) -> Column:
+    """The finding of one read file, or null. The path is judged before the content, its bytes before its spelling."""
     return (
-        F.when(paths.refusal(path).isNotNull(), PLACE_KINDS[0])
+        F.when(F.lit(False) if path_is_utf8 is None else ~path_is_utf8, PLACE_KINDS[1])
+        .when(paths.refusal(path).isNotNull(), PLACE_KINDS[0])
         .when(text.isNull(), PLACE_KINDS[2])
         .when(status == "unclosed", DOCUMENT_KINDS[0])
         .when(status == "too-large", DOCUMENT_KINDS[1])
@@ -40,3 +41,9 @@ def rendered(path: Column) -> Column:
     segs = F.split(F.regexp_replace(text, paths.CONTROL + r"|\\", "\ufffd"), "/", -1)
     marked = F.concat_ws("/", F.transform(segs, lambda s: F.when(s.isin("", ".", ".."), F.concat(F.lit("\ufffd"), s)).otherwise(s)))
     return F.when(paths.refusal(text).isNull(), text).when(paths.refusal(marked).isNull(), marked).otherwise(F.regexp_replace(marked, "(?s)^(.*/)?([^/]*)$", "$1\ufffd$2"))
+
+
+def unexplained(documents: DataFrame, findings: DataFrame) -> DataFrame:
+    """Documents whose frontmatter was not read and that no standing finding of a document kind explains: they are to be derived again."""
+    standing = findings.filter(F.col("kind").isin(DOCUMENT_KINDS)).select("path")
+    return documents.filter("frontmatter is null and frontmatter_diagnostic_count > 0").join(standing, "path", "left_anti")

@@ -81,6 +81,17 @@ def newest(df: DataFrame, *keys: str) -> DataFrame:
     return kept.select(*[F.col(c) if c in keys else F.col(f"_.{c}").alias(c) for c in df.columns])
 
 
+def section_bounds(headings: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document, ordinal, text, start, stop): each heading's section in bytes of the body: to the next heading of the same or a higher level, or
+    the body's end. A window over one document's headings each."""
+    h = newest(headings, "document", "ordinal")
+    later = Window.partitionBy("document").orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.min(F.when(F.col("level") <= n, F.col("span_offset"))).over(later).alias(f"e{n}") for n in range(1, 7)]
+    pick = F.coalesce(*[F.when(F.col("level") == n, F.col(f"e{n}")) for n in range(1, 7)])
+    docs = documents.select(F.col("doc_id").alias("document"), (F.col("byte_length") - F.col("body_offset")).alias("size"))
+    return h.select("document", "ordinal", "text", "level", F.col("body_offset").alias("start"), *ends).join(docs, "document").select("document", "ordinal", "text", "start", F.coalesce(pick, F.col("size")).alias("stop"))
+
+
 def finding_subjects(findings: DataFrame, documents: DataFrame, kinds: list[str], after: str | None, n: int) -> DataFrame:
     """(path): the first n paths after a cursor with a finding of `kinds` and no document."""
     return page(findings.filter(F.col("kind").isin(kinds)).select("path").join(documents.select("path"), "path", "left_anti").distinct(), "path", after, n)
@@ -91,7 +102,7 @@ def findings_for_path(findings: DataFrame, path: str) -> DataFrame:
     return findings.filter(F.col("path") == path).orderBy("generation", "id")
 
 
-def finding_page(findings: DataFrame, after: int | None, n: int) -> DataFrame:
+def finding_page(findings: DataFrame, after: str | None, n: int) -> DataFrame:
     """The n findings after an id."""
     past = findings if after is None else findings.filter(F.col("id") > after)
     return past.orderBy("id").limit(_limit(n))

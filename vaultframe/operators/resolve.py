@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultframe.operators import orphans, paths, reads
-from vaultframe.session import skew_join
+from vaultframe.session import materialize, skew_join
 
 HEAD = 5
 
@@ -33,10 +33,10 @@ def suffix_links(links: DataFrame) -> DataFrame:
 
 
 def markdown_links(links: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document, ordinal, anchor, there): Markdown links and the vault path they name, null above the root."""
+    """(document, ordinal, target, anchor, there): Markdown links and the vault path they name, null above the root."""
     asked = plain(links, "family = 'markdown' and target <> ''", "target", "anchor")
     home = documents.select(F.col("doc_id").alias("document"), F.col("path").alias("home"))
-    return skew_join(asked, home, "document", "inner").select("document", "ordinal", "anchor", paths.relative(F.col("home"), F.col("target")).alias("there"))
+    return skew_join(asked, home, "document", "inner").select("document", "ordinal", "target", "anchor", paths.relative(F.col("home"), F.col("target")).alias("there"))
 
 
 def backlinks(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def naming(links: DataFrame, documents: DataFrame) -> DataFrame:
     """(document, ordinal, doc_id): every document that a link of either family names, one row each; an empty target is the link's own document.
     Distinct targets meet the documents first, so a target's candidates are found once, however many links have it."""
     keyed = orphans.link_keys(reads.newest(links.filter("protocol is null").select("document", "ordinal", "family", "protocol", "target", "anchor"), "document", "ordinal"), documents)
-    asks = keyed.select("document", "ordinal", F.explode("target_keys").alias("key"))
+    asks = materialize(keyed.select("document", "ordinal", F.explode("target_keys").alias("key")), "asks")
     named = orphans.document_keys(documents).select("doc_id", F.explode("keys").alias("key"))
     each = asks.select("key").distinct().join(named, "key").groupBy("key").agg(F.collect_list("doc_id").alias("ids"))
     return skew_join(asks, each, "key", "inner").select("document", "ordinal", F.explode("ids").alias("doc_id")).distinct()
@@ -91,7 +91,7 @@ def outcomes(links: DataFrame, documents: DataFrame, headings: DataFrame, blocks
     """(document, ordinal, total, reason): how each link without a protocol resolves: the number of documents it names, and the first of
     REASONS that holds, null if it names one document and the anchor or block it asks for is in it."""
     once = reads.newest(links.filter("protocol is null").select("document", "ordinal", "family", "protocol", "target", "anchor", "block_ref"), "document", "ordinal")
-    keyed = orphans.link_keys(once, documents).select("document", "ordinal", F.explode("target_keys").alias("key"))
+    keyed = materialize(orphans.link_keys(once, documents).select("document", "ordinal", F.explode("target_keys").alias("key")), "asks")
     totals = orphans.document_keys(documents).select("doc_id", F.explode("keys").alias("key"))
     counts = keyed.select("key").distinct().join(totals, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     # the spellings a target probes name disjoint documents: a path's own name with the extension dropped is one string
@@ -107,11 +107,20 @@ def outcomes(links: DataFrame, documents: DataFrame, headings: DataFrame, blocks
     return out.select("document", "ordinal", total.alias("total"), reason.alias("reason"))
 
 
+def anchors(links: DataFrame, documents: DataFrame, headings: DataFrame) -> DataFrame:
+    """(document, ordinal, family, verdict) of the links with an anchor: 'found' if a document they name has it, a wikilink's as a heading's text, a
+    Markdown link's as a slug; else 'anchor-missing' or 'target-missing'."""
+    asked = plain(links, "anchor is not null", "family")
+    lost = orphans.orphan_links(links, documents, headings)
+    verdict = F.when(F.col("missing_in") == "headings", "anchor-missing").when(F.col("missing_in") == "documents", "target-missing").otherwise("found")
+    return asked.join(lost, ["document", "ordinal"], "left").select("document", "ordinal", "family", verdict.alias("verdict"))
+
+
 def blocks_missing(links: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """(document, ordinal, target, block_ref): links, of either family, whose target names documents of which none has the block they ask for."""
     asking = reads.newest(links.filter("protocol is null and block_ref is not null").select("document", "ordinal", "family", "protocol", "target", "anchor", "block_ref"), "document", "ordinal")
     keyed = orphans.link_keys(asking, documents).select("document", "ordinal", F.explode("target_keys").alias("key"))
-    asks = keyed.join(asking.select("document", "ordinal", "target", "block_ref"), ["document", "ordinal"])
+    asks = materialize(keyed.join(asking.select("document", "ordinal", "target", "block_ref"), ["document", "ordinal"]), "asks")
     named = orphans.document_keys(documents)
     known = named.select(F.explode("keys").alias("key")).distinct()
     held = blocks.select(F.col("document").alias("doc_id"), F.col("block_id").alias("block_ref")).distinct().join(named, "doc_id")
@@ -124,14 +133,14 @@ def blocks_missing(links: DataFrame, blocks: DataFrame, documents: DataFrame) ->
 
 
 def links_to(links: DataFrame, documents: DataFrame, targets: list[str]) -> DataFrame:
-    """(doc_id): documents with an outgoing link, of either family, to each of the targets. A target is a path or a suffix that names one
-    document; it and links that name several documents resolve to none. The targets are a request's, so they're broadcast."""
+    """(doc_id): documents with an outgoing link, of either family, to each of the targets. A target is a path, or else a suffix that names
+    one document; suffixes and links that name several resolve to none. The targets are a request's, so they're broadcast."""
     spark = documents.sparkSession
     asked = spark.createDataFrame([(t,) for t in sorted(set(targets))], "asked string")
     forms = asked.select("asked", F.explode(paths.suffix_forms(F.col("asked"))).alias("called"))
     by_suffix = called(documents).join(F.broadcast(forms), "called").select("asked", "doc_id")
     by_path = documents.join(F.broadcast(asked.withColumn("path", F.col("asked"))), "path").select("asked", "doc_id")
-    alone = by_suffix.unionByName(by_path).groupBy("asked").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("to")).filter("n = 1").select("asked", "to")
+    alone = by_suffix.join(by_path, "asked", "left_anti").unionByName(by_path).groupBy("asked").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("to")).filter("n = 1").select("asked", "to")
     single = naming(links, documents).groupBy("document", "ordinal").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("to")).filter("n = 1").select("document", "to").distinct()
     found = single.join(F.broadcast(alone), "to").groupBy("document").agg(F.count_distinct("asked").alias("n"))
     return found.filter(F.col("n") == len(set(targets))).select(F.col("document").alias("doc_id"))
