@@ -298,6 +298,84 @@ def test_plan_refusals(spark):
     assert [r[0] for r in spark.createDataFrame([("ok",), ("a|b",), (" x",), ("Customer#1",)], "t string").select(plans.representable(F.col("t"))).collect()] == [True, False, False, False]
 
 
+OPS = "kind path field old new status reason".split()
+
+
+def test_set_plan_rules(spark):
+    docs = spark.createDataFrame([("a.md", '{"status":"active","tags":["x"]}'), ("b.md", "{}"), ("c.md", None)], "path string, frontmatter string")
+    with pytest.raises(plans.PlanRefused):
+        plans.set_plan(docs, fields={"tags": "x"}, push={"tags": "y"})
+    got = {(r["path"], r["field"]): (r["kind"], r["old"], r["new"], r["status"], r["reason"]) for r in plans.set_plan(docs, fields={"status": "done"}, push={"tags": "x"}, known=["status"]).collect()}
+    assert got["a.md", "status"] == ("set_frontmatter", '"active"', '"done"', "planned", None) and got["c.md", "status"] == ("add_frontmatter", None, '"done"', "planned", None)
+    assert got["a.md", "tags"] == ("set_frontmatter", '["x"]', '["x"]', "unchanged", "unknown-field") and got["b.md", "tags"][2:4] == ('["x"]', "planned")
+    refused = plans.set_plan(docs, fields={"status": "bogus"}, allowed={"status": ["done"]})
+    assert {r["status"] for r in refused.collect()} == {"refused"} and {r["status"] for r in plans.set_plan(docs, fields={"status": "bogus"}, allowed={"status": ["done"]}, force=True).collect()} == {"planned"}
+
+
+def test_delete_plan_rules(spark):
+    docs = spark.createDataFrame([(1, "n/a.md", "a/n/"), (2, "n/b.md", "b/n/"), (3, "m/b.md", "b/m/"), (4, "z.md", "z/")], "doc_id bigint, path string, suffix_key string")
+    links = spark.createDataFrame([(4, 0, "wikilink", None, "a", None), (4, 1, "markdown", None, "n/a.md", None), (1, 0, "wikilink", None, "b", None)], "document bigint, ordinal int, family string, protocol string, target string, anchor string")
+    targets = spark.createDataFrame([("a",), ("b",), ("gone",), ("z.md",)], "target string")
+    got = {r["old"] or r["path"]: (r["status"], r["reason"]) for r in plans.delete_plan(targets, docs, links).collect()}
+    assert got == {"n/a.md": ("refused", "backlinks: 2"), "b": ("refused", "ambiguous: m/b.md, n/b.md"), "gone": ("refused", "target-not-found"), "z.md": ("planned", None)}
+    free = plans.delete_plan(targets.filter("target = 'a'"), docs, links, rewrite_to="n/b.md").collect()
+    assert sorted((r["kind"], r["path"], r["new"] or "") for r in free) == [("delete_document", "n/a.md", ""), ("rewrite_link", "z.md", "/n/b.md"), ("rewrite_link", "z.md", "b")]
+    assert plans.delete_plan(targets.filter("target = 'a'"), docs, links, allow_broken=True).first()["status"] == "planned"
+
+
+def test_plans_are_applied_whole(spark):
+    docs = spark.createDataFrame([("a.md", "---\nstatus: old\n---\n[[x]]\n"), ("b.md", "---\n{a: 1}\n---\n"), ("c.md", "c"), ("d.md", "d")], "path string, text string")
+    rows = [
+        ("set_frontmatter", "a.md", "status", '"old"', '"done"', None, "planned", None), ("rewrite_link", "a.md", "wikilink", "x", "y", 0, "planned", None), ("move_document", "a.md", None, "a.md", "n/a.md", None, "planned", None),
+        ("set_frontmatter", "b.md", "a", "1", "2", None, "planned", None), ("delete_document", "c.md", None, "c.md", None, None, "planned", None), ("set_frontmatter", "d.md", "a", None, "1", None, "refused", "why"),
+        ("create_document", "e.md", None, None, '{"type":"note"}', None, "planned", None), ("set_frontmatter", "gone.md", "a", None, "1", None, "planned", None),
+    ]
+    got = {r["path"]: (r["to"], r["text"], r["refusal"]) for r in plans.applied(spark.createDataFrame(rows, plans.OPERATION), docs).collect()}
+    assert got["a.md"] == ("n/a.md", '---\nstatus: "done"\n---\n[[y]]\n', None) and got["c.md"] == (None, None, None)
+    assert got["b.md"][1:] == ("---\n{a: 1}\n---\n", "the field can't be edited in place") and "d.md" not in got
+    assert got["e.md"] == ("e.md", '---\ntype: "note"\n---\n', None) and got["gone.md"][2] == "no such document"
+
+
+def test_writing_documents(tmp_path):
+    h = vault.write_document(str(tmp_path), "n/a.md", b"one", None)
+    assert (tmp_path / "n" / "a.md").read_bytes() == b"one" and h == hashlib.sha256(b"one").hexdigest()
+    with pytest.raises(vault.WriteRefused):
+        vault.write_document(str(tmp_path), "n/a.md", b"two", None)
+    h2 = vault.write_document(str(tmp_path), "n/a.md", b"two", h)
+    vault.write_document(str(tmp_path), "b.md", b"b", None)
+    with pytest.raises(vault.WriteRefused):
+        vault.move_document(str(tmp_path), "n/a.md", "b.md", h2)
+    vault.move_document(str(tmp_path), "n/a.md", "m/a.md", h2)
+    with pytest.raises(vault.WriteRefused):
+        vault.vacate_document(str(tmp_path), "m/a.md", h)
+    vault.vacate_document(str(tmp_path), "m/a.md", h2)
+    assert vault.path_kind(str(tmp_path / "m" / "a.md")) == "missing" and vault.path_kind(str(tmp_path / "b.md")) == "regular-file" and vault.path_kind(str(tmp_path)) == "directory"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["b.md"]
+
+
+@pytest.mark.parametrize("folders", [1, 256])
+def test_walk_facts(spark, tmp_path, monkeypatch, folders):
+    import os
+
+    monkeypatch.setattr(vault, "SPREAD_FOLDERS", folders)
+    root = tmp_path / "v"
+    for f in ("n/deep", "out", ".vaultframe/tmp", "skip"):
+        (root / f).mkdir(parents=True)
+    for f in ("a.md", "n/b.MD", "n/.md", "n/deep/c.md", ".vaultframe/tmp/x.md", "skip/y.md", "n/.a.md.shadow-12"):
+        (root / f).write_text("x")
+    (tmp_path / "else.md").write_text("x")
+    for name, to in (("l1.md", "a.md"), ("l2", "n"), ("l3.md", "nowhere"), ("l4.md", "../else.md")):
+        (root / name).symlink_to(to)
+    os.mkfifo(root / "p.md")
+    got = {r["path"]: (r["skip_reason"], r["detail"]) for r in vault.walk_facts(spark, str(root), ["skip"]).collect()}
+    assert got == {
+        "a.md": (None, None), "n/b.MD": (None, None), "n/.md": ("not-markdown", None), "n/deep/c.md": (None, None), ".vaultframe/tmp": ("mechanism", None), "skip": ("exclusion", None), "n/.a.md.shadow-12": ("shadow", None),
+        "l1.md": ("symbolic-link", "in-vault-file"), "l2": ("symbolic-link", "in-vault-directory"), "l3.md": ("symbolic-link", "dangling"), "l4.md": ("symbolic-link", "outbound"), "p.md": ("special-file", "fifo"),
+    }
+    assert [r["path"] for r in vault.walk(spark, str(root), subtree="n").filter("skip_reason is null").collect()] == ["n/b.MD", "n/deep/c.md"]
+    assert [tuple(r) for r in vault.walk_facts(spark, str(root), ["skip"], "skip").collect()] == [("skip", "exclusion", None)]
+
+
 def test_class_discard_never_misses(spark):
     f = spark.createDataFrame([("c", "warning", "p", "x/v1.2", None), ("c", "warning", "p", "other", None)], "code string, severity string, path string, subject string, detail string")
     left = findings.discard_classes(f, spark.createDataFrame([("v1/",)], "class_key string"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultframe.operators import paths, reads, resolve
+from vaultframe.queries.problems import _P5
 from vaultframe.session import table
 
 ROW = ["path", "content_hash", "byte_length", "generation"]
@@ -54,10 +55,6 @@ def r07_tombstone(spark, sf):
     return dead.filter(F.col("path") == dead.agg(F.min("path")).first()[0])
 
 
-def r08_subjects_without_rows(spark, sf):
-    return table(spark, sf, "tombstones").join(_docs(spark, sf), "path", "left_anti").select("path").distinct().orderBy("path").limit(1000)
-
-
 def r11_tombstone_page(spark, sf):
     return reads.page(table(spark, sf, "tombstones"), "path", "d", 64)
 
@@ -173,21 +170,14 @@ def s12_vector_sink(spark, sf):
 
 
 def x13_anchor(spark, sf):
-    """Own-document anchors and whether a heading answers: a wikilink's by text, a Markdown link's by slug."""
-    own = reads.newest(table(spark, sf, "links"), "document", "ordinal").filter("protocol is null and target = '' and anchor is not null")
-    heads = table(spark, sf, "headings")
-    names = heads.select("document", F.lit("wikilink").alias("family"), F.col("text").alias("anchor")).unionByName(heads.select("document", F.lit("markdown").alias("family"), F.col("slug").alias("anchor"))).distinct()
-    return own.join(names.withColumn("found", F.lit(True)), ["document", "family", "anchor"], "left").groupBy("family", F.coalesce("found", F.lit(False)).alias("found")).agg(F.count(F.lit(1)).alias("links"))
+    """Links with an anchor, by family: how many find it in a document they name, a wikilink's by text, a Markdown link's by slug."""
+    found = resolve.anchors(table(spark, sf, "links"), _docs(spark, sf), table(spark, sf, "headings"))
+    return found.groupBy("family", "verdict").agg(F.count(F.lit(1)).alias("links"))
 
 
 def parse22_sections(spark, sf):
-    """Each heading's section: to the next heading of the same or a higher level, or the body's end. Windows over one document's headings."""
-    h = reads.newest(table(spark, sf, "headings"), "document", "ordinal")
-    later = Window.partitionBy("document").orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)
-    ends = [F.min(F.when(F.col("level") <= n, F.col("span_offset"))).over(later).alias(f"e{n}") for n in range(1, 7)]
-    pick = F.coalesce(*[F.when(F.col("level") == n, F.col(f"e{n}")) for n in range(1, 7)])
-    docs = _docs(spark, sf).select(F.col("doc_id").alias("document"), (F.col("byte_length") - F.col("body_offset")).alias("size"))
-    return h.select("document", "ordinal", "level", F.col("body_offset").alias("start"), *ends).join(docs, "document").select("document", "ordinal", "start", F.coalesce(pick, F.col("size")).alias("stop"))
+    """Each heading's section: to the next heading of the same or a higher level, or the body's end."""
+    return reads.section_bounds(table(spark, sf, "headings"), _docs(spark, sf)).select("document", "ordinal", "start", "stop")
 
 
 _STEM = r"regexp_replace({}, '^(.+)\.[^.]*$', '\1')"
@@ -214,7 +204,6 @@ ORACLES = {
     "r05_folded_page": f"SELECT {_COLS} FROM documents WHERE ({_ASCII.format('path')}, path) > ({_ASCII.format(repr('heron-desk/notes/Z'))}, 'heron-desk/notes/Z') ORDER BY {_ASCII.format('path')}, path LIMIT 150",
     "r06_document_facts": f"SELECT doc_id, path, {_facts('links', 'target')}, {_facts('headings', 'slug')}, {_facts('document_tags', 'name')} FROM documents d",
     "r07_tombstone": "SELECT * FROM tombstones WHERE path = (SELECT min(path) FROM tombstones)",
-    "r08_subjects_without_rows": "SELECT DISTINCT path FROM tombstones t WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.path = t.path) ORDER BY path LIMIT 1000",
     "r11_tombstone_page": "SELECT * FROM tombstones WHERE path > 'd' ORDER BY path LIMIT 64",
     "r12_living_feed": "SELECT generation, path, content_hash, body_hash, frontmatter_projection_hash FROM documents WHERE (generation, path) > (3, 'cinder') ORDER BY generation, path LIMIT 500",
     "r13_death_feed": "SELECT generation, path, last_content_hash, provenance FROM tombstones WHERE (generation, path) > (2, 'd') ORDER BY generation, path LIMIT 500",
@@ -228,7 +217,7 @@ ORACLES = {
     "x03_probes": f"WITH t AS (SELECT DISTINCT target FROM links WHERE protocol IS NULL AND family = 'wikilink' AND target <> '') SELECT target, array_to_string(list_reverse(string_split(f, '/')), '/') || '/' AS probe FROM (SELECT target, target AS f FROM t UNION SELECT target, {_REDUCED.format('target')} FROM t)",
     "x04_classes": "SELECT string_split(suffix_key, '/')[1] || '/' AS class_key, count(*) AS members FROM documents GROUP BY 1",
     "x05_refusals": r"""
-SELECT target, CASE WHEN target = '' THEN 'empty' WHEN starts_with(target, '/') THEN 'absolute' WHEN contains(target, '\') THEN 'backslash' WHEN regexp_matches(target, '[\x00-\x1f\x7f]') THEN 'control'
+SELECT target, CASE WHEN target = '' THEN 'empty' WHEN starts_with(target, '/') THEN 'absolute' WHEN contains(target, '\') THEN 'backslash' WHEN regexp_matches(target, '[\x00-\x1f\x7f-\x{9f}]') THEN 'control'
   WHEN list_contains(string_split(target, '/'), '') THEN 'empty-segment' WHEN list_contains(string_split(target, '/'), '.') OR list_contains(string_split(target, '/'), '..') THEN 'dot-segment'
   WHEN regexp_matches(target, '(^|/)\.+$') THEN 'dot-stem' END AS refusal FROM (SELECT DISTINCT target FROM links WHERE protocol IS NULL)""",
     "x07_descendants": "SELECT array_to_string(segs[1:i], '/') AS folder, count(*) AS documents FROM (SELECT string_split(path, '/') AS segs FROM documents), LATERAL (SELECT unnest(range(1, len(segs))) AS i) GROUP BY 1",
@@ -253,7 +242,7 @@ SELECT t.target, count(c.path) AS total, coalesce(string_agg(c.path, '|' ORDER B
     "j05_outer": "SELECT CASE WHEN t.path IS NULL THEN 'live' WHEN d.path IS NULL THEN 'dead' WHEN d.content_hash IS NOT DISTINCT FROM t.last_content_hash THEN 'same' ELSE 'moved' END AS state, count(*) AS paths FROM documents d FULL JOIN tombstones t ON d.path = t.path GROUP BY 1",
     "j06_stale_vectors": "SELECT DISTINCT v.document, model_id, model_version, v.generation FROM document_vectors v JOIN documents d ON d.doc_id = v.document WHERE v.content_hash <> d.content_hash",
     "s12_vector_sink": "SELECT document, model_id, model_version, max(generation) AS generation, max_by(content_hash, (generation, content_hash)) AS content_hash FROM document_vectors WHERE document IN (SELECT doc_id FROM documents) GROUP BY 1, 2, 3",
-    "x13_anchor": "SELECT family, EXISTS (SELECT 1 FROM headings h WHERE h.document = l.document AND l.anchor = CASE WHEN l.family = 'wikilink' THEN h.text ELSE h.slug END) AS found, count(*) AS links FROM (SELECT DISTINCT document, ordinal, family, anchor FROM links WHERE protocol IS NULL AND target = '' AND anchor IS NOT NULL) l GROUP BY 1, 2",
+    "x13_anchor": _P5 + " SELECT o.family, CASE missing_in WHEN 'documents' THEN 'target-missing' WHEN 'headings' THEN 'anchor-missing' ELSE 'found' END AS verdict, count(*) AS links FROM named o JOIN orphan USING (document, ordinal) WHERE o.anchor IS NOT NULL GROUP BY 1, 2",
     "parse22_sections": """
 WITH h AS (SELECT DISTINCT document, ordinal, level, span_offset, body_offset FROM headings)
 SELECT h.document, h.ordinal, h.body_offset AS start, coalesce((SELECT min(n.span_offset) FROM h n WHERE n.document = h.document AND n.ordinal > h.ordinal AND n.level <= h.level), d.byte_length - d.body_offset) AS stop
