@@ -29,6 +29,8 @@ SKETCH_BITS = 20
 _BLOCK_BITS = 14
 #: Members of a group agree in as many minimum hashes: fewer make larger, looser groups, whose unions bound less well.
 GROUP_HASHES = 3
+#: Slots of the filter over the sets that are compared: 2 ** SLOT_BITS, the most rows that its broadcast can have.
+SLOT_BITS = 18
 #: Code points handled at once.
 CHUNK_CHARS = 4_000_000
 
@@ -100,7 +102,7 @@ def token_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def leading_tokens(sets: DataFrame, sketch: np.ndarray, threshold: float, depth: int) -> DataFrame:
-    """(id, size, grp, token, indexed): the leading tokens of each distinct set; `id` is the head of its mark. `indexed` tells those that
+    """(id, size, grp, tokens, indexed): the leading tokens of each distinct set, in order; `id` is the head of its mark. The first `indexed`
     suffice when all partners are at least as large. A partition says each set once, so copies don't pile up on their tokens."""
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
     both = 2 * threshold / (1 + threshold)
@@ -130,13 +132,13 @@ def leading_tokens(sets: DataFrame, sketch: np.ndarray, threshold: float, depth:
             query = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + depth)
             index = np.minimum(sizes, sizes - np.ceil(both * sizes - 1e-9).astype(np.int64) + depth)
             keep = place < query[owner]
-            at, picked = owner[keep], order[keep]
+            ends = np.concatenate(([0], np.cumsum(query))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), pa.array(sizes[at].astype(np.int32)), pa.array(group[at]), pa.array(values[picked]), pa.array(place[keep] < index[at])],
-                names=["id", "size", "grp", "token", "indexed"],
+                [pa.array(ids), pa.array(sizes.astype(np.int32)), pa.array(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order[keep]])), pa.array(index.astype(np.int32))],
+                names=["id", "size", "grp", "tokens", "indexed"],
             )
 
-    return sets.select("mark", "head", "tokens").mapInArrow(lead, "id bigint, size int, grp bigint, token bigint, indexed boolean")
+    return sets.select("mark", "head", "tokens").mapInArrow(lead, "id bigint, size int, grp bigint, tokens array<bigint>, indexed int")
 
 
 class NearDuplicates:
@@ -197,9 +199,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshol
     marked = sets.select("doc", "mark", "head")
     members = materialize(skew_join(marked, marked.groupBy("mark").agg(F.min("doc").alias("rep")), "mark", "inner").select("doc", "head", "rep").distinct(), "members")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leads = leading_tokens(sets, token_sketch(sets), threshold, depth).repartition(parts, "token")  # one exchange for both sides of the join
-    matrix = leads.filter("indexed").groupBy("token", "grp").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    asked = leads.select("token", F.col("id").alias("y"), F.col("size").alias("size_y")).distinct()
+    leads = materialize(leading_tokens(sets, token_sketch(sets), threshold, depth), "leads")
+    indexed = leads.select(F.explode(F.slice("tokens", 1, F.col("indexed"))).alias("token"), "grp", "size").repartition(parts, "token")
+    matrix = indexed.groupBy("token", "grp").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    asked = leads.select(F.explode("tokens").alias("token"), F.col("id").alias("y"), F.col("size").alias("size_y")).repartition(parts, "token").distinct()
     bound = (
         asked.join(matrix, "token")
         .filter((F.col("most") >= F.lit(threshold - 1e-9) * F.col("size_y")) & (F.col("least") <= F.col("size_y")))
@@ -207,7 +210,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshol
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") >= F.least(F.lit(depth), F.ceil(F.lit(threshold) * F.col("size_y") - 1e-9)))
     )
-    group_of = leads.filter("indexed").groupBy("grp", F.col("id").alias("x")).agg(F.first("size").alias("size_x"))
+    group_of = leads.groupBy("grp", F.col("id").alias("x")).agg(F.first("size").alias("size_x"))
     opened = bound.join(group_of, "grp").filter(
         ((F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("x") < F.col("y")))) & (F.col("size_x") >= F.lit(threshold - 1e-9) * F.col("size_y"))
     )
@@ -215,8 +218,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshol
     named = members.filter("doc = rep").select("doc", F.col("head").alias("id"))
     opened = opened.select("x", "y").join(named.select(F.col("id").alias("x"), F.col("doc").alias("dx")), "x").join(named.select(F.col("id").alias("y"), F.col("doc").alias("dy")), "y")
     opened = materialize(opened.select(F.col("dx").alias("x"), F.col("dy").alias("y")), "opened")
-    with_x = opened.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("tx")), "x")
-    with_both = with_x.join(sets.select(F.col("doc").alias("y"), F.col("tokens").alias("ty")), "y")
+    compared = _asked_for(sets, opened)
+    with_x = opened.join(compared.select(F.col("doc").alias("x"), F.col("tokens").alias("tx")), "x")
+    with_both = with_x.join(compared.select(F.col("doc").alias("y"), F.col("tokens").alias("ty")), "y")
     both = F.size(F.array_intersect("tx", "ty"))
     pairs = (
         with_both.select("x", "y", both.alias("both"), (F.size("tx") + F.size("ty")).alias("sizes"))
@@ -227,6 +231,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, threshol
     return NearDuplicates(members, materialize(pairs, "similar"))
 
 
+def _asked_for(sets: DataFrame, opened: DataFrame) -> DataFrame:
+    """(doc, tokens) of the sets that a pair of `opened` (x, y) needs, and a few more: a document passes if the slot of its hash, one of 2 **
+    SLOT_BITS, is some needed document's. The slots are broadcast, so sets that nobody asks for aren't shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).alias("slot")
+    needed = materialize(opened.select(slot("x")).union(opened.select(slot("y"))).distinct(), "slots")
+    return sets.select("doc", "tokens", slot("doc")).join(F.broadcast(needed), "slot", "left_semi").select("doc", "tokens")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): connected components of (a, b), each named by its smallest node. Hook to the least neighbour and shortcut, until
     nothing changes: rounds grow with the logarithm of the longest path, each is cut from the last by a written table."""
