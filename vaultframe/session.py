@@ -84,9 +84,12 @@ def release(spark: SparkSession, at: str) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut where the bytes of a string column pass `most`, so that what a task holds of a batch doesn't follow the texts' lengths."""
+    """Batches cut where the bytes of a string or binary column, or the items of a list column, pass `most`, so that what a task holds of a
+    batch doesn't follow the lengths of its values."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = pc.fill_null(measure(values), 0).to_numpy(zero_copy_only=False)
         start = 0
         ends = np.cumsum(sizes, dtype=np.int64)
         while start < len(sizes):
