@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import kernel
-from vaultframe.session import materialize, skew_join, spread
+from vaultframe.session import materialize, skew_join, slices, spread
 
 #: Counters of the token sketch: 2 ** SKETCH_BITS. Its broadcast is a byte for each, whatever the corpus' size.
 SKETCH_BITS = 20
@@ -31,20 +31,8 @@ _BLOCK_BITS = 14
 GROUP_HASHES = 3
 #: Slots of the filter over the sets that are compared: 2 ** SLOT_BITS, the most rows that its broadcast can have.
 SLOT_BITS = 18
-#: Code points handled at once.
-CHUNK_CHARS = 4_000_000
-
-
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_CHARS together; a longer text is alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > CHUNK_CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+#: Bytes of text, and tokens, that a task handles at once.
+CHUNK_BYTES, CHUNK_TOKENS = 1_000_000, 300_000
 
 
 def shingle_table(df: DataFrame, key: str, text: str, width: int, min_words: int) -> DataFrame:
@@ -52,18 +40,14 @@ def shingle_table(df: DataFrame, key: str, text: str, width: int, min_words: int
     Null texts and those with fewer words, or with fewer than `width`, give no row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            texts = ["" if t is None else t for t in texts]
-            for a, b in _chunks(texts):
-                sets, counts = kernel.shingle_sets(texts[a:b], width)
-                keep = [i for i in range(b - a) if counts[i] >= max(min_words, 1) and len(sets[i])]
-                if not keep:
-                    continue
+        for batch in slices(batches, 1, CHUNK_BYTES):
+            sets, counts = kernel.shingle_sets(batch.column(1).to_pylist(), width)
+            keep = [i for i in range(len(sets)) if counts[i] >= max(min_words, 1) and len(sets[i])]
+            if keep:
                 limits = np.concatenate(([0], np.cumsum([len(sets[i]) for i in keep]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate([sets[i] for i in keep]).view(np.int64)))
                 marks = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in keep]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + i for i in keep], pa.int64())), pa.array(marks, pa.binary()), pa.array([int.from_bytes(m[:8], "little", signed=True) for m in marks], pa.int64()), tokens], names=["doc", "mark", "head", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(marks, pa.binary()), pa.array([int.from_bytes(m[:8], "little", signed=True) for m in marks], pa.int64()), tokens], names=["doc", "mark", "head", "tokens"])
 
     return spread(df.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("text is not null")).mapInArrow(make, f"doc {dict(df.dtypes)[key]}, mark binary, head bigint, tokens array<bigint>")
 
@@ -109,7 +93,7 @@ def leading_tokens(sets: DataFrame, sketch: np.ndarray, threshold: float, depth:
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, said = shared.value, set()
-        for batch in batches:
+        for batch in slices(batches, 2, CHUNK_TOKENS):
             fresh = [i for i, m in enumerate(batch.column(0).to_pylist()) if m not in said and not said.add(m)]
             if not fresh:
                 continue

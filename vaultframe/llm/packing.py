@@ -111,7 +111,8 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, max_segments: int
     end = F.when(F.col("over"), F.least(begin + piece, F.col("tokens"))).otherwise(F.col("tokens"))
     rows = materialize(cut.select("item", "part", (end - begin).alias("tokens"), F.greatest(F.lit(0), end - F.greatest(begin, F.col("tokens") - F.col("loss"))).alias("loss")), "items")
     groups = max(1, -(-rows.count() // group_items))
-    spread = rows.withColumn("grp", F.pmod(F.xxhash64("item", "part", "tokens", "loss"), F.lit(groups)))
+    # the rows are written, so their numbers stand; equal items, and items without a key, are spread like any others
+    spread = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "item", "part"], ascending=[False, True, True], kind="stable")

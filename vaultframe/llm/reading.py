@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import kernel, prose
-from vaultframe.session import materialize, spread
+from vaultframe.session import materialize, slices, spread
 
 WORD_BITS = 16
 #: The style grid: cells of a factor 2 ** (1 / GRID), GRID_SIDE along each measure.
@@ -29,7 +29,7 @@ GRADED_WEIGHT = 25.0
 #: Iterations end when the nodes' mean change, weighted by their edges, is below TOLERANCE grades, or after ITERATIONS.
 TOLERANCE, ITERATIONS = 0.005, 60
 _NODES = (1 << WORD_BITS) + GRID_SIDE * GRID_SIDE
-_CHUNK_CHARS = 4_000_000
+_CHUNK_BYTES = 2_000_000
 
 
 def _style(letters: np.ndarray, pace: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,29 +47,21 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
     (null, empty, only lists and the like) has zeros and no nodes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= _CHUNK_CHARS):
-                    size += len(texts[stop])
-                    stop += 1
-                n, letters, sentences, hashes = prose.measures(texts[start:stop])
-                owner = np.repeat(np.arange(stop - start), n)
-                pair, tf = np.unique((owner.astype(np.uint64) << np.uint64(WORD_BITS)) | (hashes >> np.uint64(64 - WORD_BITS)), return_counts=True)
-                offsets = np.searchsorted(pair >> np.uint64(WORD_BITS), np.arange(stop - start + 1).astype(np.uint64)).astype(np.int32)
-                nodes = (pair & np.uint64((1 << WORD_BITS) - 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, stop - start),
-                        *(pa.array(x.astype(np.int64)) for x in (n, letters, sentences)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(tf.astype(np.int32))),
-                    ],
-                    names=["doc", "words", "letters", "sentences", "nodes", "counts"],
-                )
-                start = stop
+        for batch in slices(batches, 1, _CHUNK_BYTES):
+            n, letters, sentences, hashes = prose.measures(["" if t is None else t for t in batch.column(1).to_pylist()])
+            owner = np.repeat(np.arange(len(n)), n)
+            pair, tf = np.unique((owner.astype(np.uint64) << np.uint64(WORD_BITS)) | (hashes >> np.uint64(64 - WORD_BITS)), return_counts=True)
+            offsets = np.searchsorted(pair >> np.uint64(WORD_BITS), np.arange(len(n) + 1).astype(np.uint64)).astype(np.int32)
+            nodes = (pair & np.uint64((1 << WORD_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array(x.astype(np.int64)) for x in (n, letters, sentences)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(tf.astype(np.int32))),
+                ],
+                names=["doc", "words", "letters", "sentences", "nodes", "counts"],
+            )
 
     return spread(df.select(F.col(key).alias("doc"), F.col(text).alias("text"))).mapInArrow(make, f"doc {dict(df.dtypes)[key]}, words bigint, letters bigint, sentences bigint, nodes array<int>, counts array<int>")
 
