@@ -7,7 +7,7 @@ and `cells` rebuild rows of any repeated ancestor from those level sequences alo
 A path is its steps, each after a '/': a field is its name escaped as in a JSON Pointer (~0, ~1), an array item is '~'
 (no escaped name is a lone '~'). The record's own path is ''. Step k (from 0) adds two to the definition level: 2k + 1 when the value at depth k has the kind
 the step needs (object or array), 2k + 2 when the field or item is there. A leaf adds one more. `kind` tells leaves apart: 'value'
-(a scalar, null included), 'object' (an object that is empty in the whole record), 'array' (likewise).
+(a scalar, null included), 'object' (an empty object), 'array' (an empty array).
 `fresh` is the least depth whose objects no earlier path of the record covers: each object belongs to exactly one path, so
 rebuilding objects needs no distinct and no shuffle.
 """
@@ -37,12 +37,12 @@ class _Scalar(str):
 
 
 class _Node:
-    __slots__ = ("fields", "is_object", "is_array", "item", "is_value", "object_leaf", "array_leaf", "value_leaf")
+    __slots__ = ("fields", "is_object", "is_array", "item", "is_value", "has_empty_object", "has_empty_array", "object_leaf", "array_leaf", "value_leaf")
 
     def __init__(self) -> None:
         self.fields: dict[str, _Node] = {}
         self.item: _Node | None = None
-        self.is_object = self.is_array = self.is_value = False
+        self.is_object = self.is_array = self.is_value = self.has_empty_object = self.has_empty_array = False
         self.object_leaf = self.array_leaf = self.value_leaf = None
 
 
@@ -122,12 +122,14 @@ def _learn(root: _Node, record) -> None:
         node, x = todo.pop()
         if isinstance(x, dict):
             node.is_object = True
+            node.has_empty_object |= not x
             for k in x:
                 if k not in node.fields:
                     node.fields[k] = _Node()
             todo += [(node.fields[k], v) for k, v in reversed(x.items())]
         elif isinstance(x, list):
             node.is_array = True
+            node.has_empty_array |= not x
             if x and node.item is None:
                 node.item = _Node()
             todo += [(node.item, v) for v in reversed(x)]
@@ -159,10 +161,13 @@ def _leaves(root: _Node) -> list:
         else:
             if node.is_value:
                 todo.append((node, step, "value"))
-            if node.is_array:
-                todo.append((node, step, "array") if node.item is None else (node.item, (step, ITEM), None))
-            if node.is_object:
-                todo += [(child, (step, escape(k)), None) for k, child in reversed(node.fields.items())] or [(node, step, "object")]
+            if node.has_empty_array:
+                todo.append((node, step, "array"))
+            if node.item is not None:
+                todo.append((node.item, (step, ITEM), None))
+            if node.has_empty_object:  # after the fields, which own the objects here
+                todo.append((node, step, "object"))
+            todo += [(child, (step, escape(k)), None) for k, child in reversed(node.fields.items())]
     return out
 
 
@@ -180,17 +185,17 @@ def _stripe(root: _Node, record) -> None:
         if node.is_object:
             there = isinstance(x, dict)
             if node.object_leaf:
-                _put(node.object_leaf, r, d + there)
+                _put(node.object_leaf, r, d + (there and not x))
             for k, child in node.fields.items():
                 v = x.get(k, _MISSING) if there else _MISSING
                 todo.append((child, v, r, d + (0 if not there else 1 if v is _MISSING else 2), arrays if there else 0))
         if node.is_array:
             there = isinstance(x, list)
             if node.array_leaf:
-                _put(node.array_leaf, r, d + there)
-            elif not there or not x:
+                _put(node.array_leaf, r, d + (there and not x))
+            if node.item is not None and (not there or not x):
                 todo.append((node.item, _MISSING, r, d + there, 0))
-            else:
+            elif node.item is not None:
                 todo += [(node.item, x[i], r if i == 0 else arrays + 1, d + 2, arrays + 1) for i in range(len(x) - 1, -1, -1)]
         if node.is_value:
             if x is _MISSING or isinstance(x, (dict, list)):
@@ -287,7 +292,7 @@ def record_objects(path: str, kind: str, fresh: int, repetition: list[int], defi
     """(node, parent) of the objects below the root that this path owns: those from depth `fresh` on."""
     steps = path.split("/")[1:]
     depths = [s for s in range(max(1, fresh), len(steps)) if steps[s] != ITEM]
-    if kind == "object" and steps:
+    if kind == "object" and len(steps) >= max(1, fresh):
         depths.append(len(steps))
     if not depths:
         return []

@@ -80,7 +80,18 @@ WITH live AS (
 
 QUERIES = {"p1_found": p1_found, "p1_levels": p1_levels, "p1_cells": p1_cells, "p1_tasks": p1_tasks, "p5_found": p5_found, "p5_report": p5_report}
 
+_P1_CELLS = """
+WITH RECURSIVE walk AS (
+  SELECT doc_id, '' AS tbl, '' AS node, '' AS parent, '' AS parent_table, '' AS col, frontmatter::JSON AS j, json_type(frontmatter) AS kind FROM documents WHERE frontmatter IS NOT NULL
+  UNION ALL
+  SELECT w.doc_id, CASE WHEN w.kind = 'ARRAY' THEN w.tbl || CASE WHEN w.col = '' THEN '' ELSE '/' || w.col END || '/~' ELSE w.tbl END, CASE WHEN w.kind = 'ARRAY' THEN w.node || CASE WHEN w.col = '' THEN '' ELSE '/' || w.col END || '/' || e.key ELSE w.node END,
+    CASE WHEN w.kind = 'ARRAY' THEN w.node ELSE w.parent END, CASE WHEN w.kind = 'ARRAY' THEN w.tbl ELSE w.parent_table END,
+    CASE WHEN w.kind = 'ARRAY' THEN '' ELSE CASE WHEN w.col = '' THEN '' ELSE w.col || '/' END || replace(replace(e.key, '~', '~0'), '/', '~1') END, e.value, json_type(e.value)
+  FROM walk w, json_each(w.j) e WHERE w.kind IN ('OBJECT', 'ARRAY')
+)"""
+
 ORACLES = {
+    "p1_cells": _P1_CELLS + " SELECT doc_id, tbl AS \"table\", node, parent, parent_table, col AS \"column\", j::VARCHAR AS value FROM walk WHERE kind NOT IN ('OBJECT', 'ARRAY') OR j::VARCHAR IN ('{}', '[]')",
     "p1_found": _P1_WALK + " SELECT doc_id, node, encloses AS parent FROM walk WHERE kind = 'OBJECT' AND node <> ''",
     "p1_tasks": """
 SELECT doc_id, '/tasks/' || (i - 1) AS node, '' AS parent, json_extract(t, '$.name')::VARCHAR AS name, json_extract(t, '$.state')::VARCHAR AS state, json_extract(t, '$.due')::VARCHAR AS due
