@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultframe.functions import parse
-from vaultframe.operators import findings, reads, store, vectors
+from vaultframe.operators import findings, formats, reads, store, vectors
 from vaultframe.plans import edits, plans
 from vaultframe.sources import vault
 from vaultframe.streaming import watch
@@ -395,6 +395,42 @@ def test_embedding_is_unit_and_repeatable():
     assert one[state % 64] > 0
 
 
+def test_embedders_are_pluggable(spark):
+    import numpy as np
+
+    class Lengths:
+        model, version, dimensions = "lengths", "1", 2
+
+        def embed_batch(self, texts):
+            return np.array([[len(t), 1] for t in texts], np.float32)
+
+    df = spark.createDataFrame([(1, "abc", "h"), (2, None, "h"), (3, "", "k")], "doc_id bigint, body string, content_hash string")
+    assert {r["doc_id"]: r["embedding"] and list(r["embedding"]) for r in vectors.embed(df, "doc_id", "body", Lengths()).collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}
+    rows = vectors.vector_rows(df, "doc_id", "body", "content_hash", 7, Lengths())
+    both = rows.unionByName(rows.withColumn("generation", F.lit(9).cast("bigint")).withColumn("content_hash", F.lit("new"))).unionByName(rows.withColumn("document", F.lit(99).cast("bigint")))
+    kept = vectors.stored(both, df)
+    assert sorted((r["document"], r["generation"], r["content_hash"]) for r in kept.collect()) == [(1, 9, "new"), (3, 9, "new")]
+    assert vectors.stale(kept, df).count() == 2 and vectors.stale(rows, df).count() == 0
+
+
+def test_inference_stays_out_of_findings_and_plans():
+    """What is inferred never becomes a finding, a plan or a repair."""
+    import ast
+    from pathlib import Path
+
+    root = Path(findings.__file__).resolve().parents[1]
+    for p in [root / "operators" / f"{n}.py" for n in ("findings", "resolve", "orphans", "quarantine", "store", "predicates", "projection")] + list((root / "plans").glob("*.py")):
+        names = {a.name for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names} | {n.module for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, ast.ImportFrom)}
+        assert not any(x and "vectors" in x for x in names), p
+
+
+def test_output_formats(spark):
+    df = spark.createDataFrame([("b", 2), ("a", None)], "path string, n int")
+    assert json.loads("".join(r[0] for r in formats.json_array(df).collect())) == [{"path": "a"}, {"path": "b", "n": 2}]
+    assert json.loads("".join(r[0] for r in formats.json_array(df.filter("false")).collect())) == []
+    assert [r[0] for r in formats.report(spark.createDataFrame([("x", 3), ("y", 12)], "name string, count bigint"), "all").collect()] == ["all: 15", "      12  y", "       3  x"]
+
+
 def test_open_ladder(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"))
     assert s.open("v1") == "created" and s.open("v1") == "opened"

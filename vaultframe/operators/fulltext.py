@@ -78,6 +78,11 @@ def match_phrase(index: DataFrame, phrase: str) -> DataFrame:
     return out.filter(F.size("starts") > 0).select("doc")
 
 
+def documents(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that a match found, in path order."""
+    return docs.join(hits.select(F.col("doc").alias(key)), key, "left_semi").orderBy("path")
+
+
 def drift(stored: DataFrame, derived: DataFrame) -> DataFrame:
     """(side, rows): postings that only the stored or only the derived index has."""
     only = lambda a, b, side: a.exceptAll(b).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(side).alias("side"), "rows")

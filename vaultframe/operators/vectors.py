@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaultframe.session import slices, spread
+
 # FNV-1a over 64 bits and a finaliser.
 _BASIS, _PRIME = 0xCBF29CE484222325, 0x00000100000001B3
 _MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
@@ -58,17 +63,67 @@ def embed_batch(texts: list[str], model_id: str = "stub", version: str = "2", wi
     return counts.astype(np.float32) / norms[:, None]
 
 
-def embed(df: DataFrame, key: str, text: str, model_id: str = "stub", version: str = "2", width: int = 64) -> DataFrame:
-    """(key, embedding): a null text has a null embedding."""
+class Embedder(Protocol):
+    """What turns texts into vectors: a model's name and version, its dimensions, and a batch of texts to a (texts, dimensions) float32 array. It must
+    give a text the same vector in any batch, and be picklable, as executors call it."""
+
+    model: str
+    version: str
+    dimensions: int
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray: ...
+
+
+@dataclass(frozen=True)
+class HashedWords:
+    """The built-in embedder: `embed_batch`."""
+
+    model: str = "stub"
+    version: str = "2"
+    dimensions: int = 64
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        return embed_batch(texts, self.model, self.version, self.dimensions)
+
+
+#: Bytes of text that an embedder is given at once.
+EMBED_BYTES = 1_000_000
+
+
+def embed(df: DataFrame, key: str, text: str, embedder: Embedder = HashedWords()) -> DataFrame:
+    """(key, embedding): a null text has a null embedding, any other one of the embedder's dimensions."""
+    size = embedder.dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, EMBED_BYTES):
             texts = batch.column(1).to_pylist()
-            found = embed_batch([t or "" for t in texts], model_id, version, width) if texts else np.zeros((0, width), np.float32)
-            out = pa.array([None if t is None else v for t, v in zip(texts, found)], pa.list_(pa.float32()))
+            found = embedder.embed_batch([t or "" for t in texts]) if texts else np.zeros((0, size), np.float32)
+            if found.shape != (len(texts), size):
+                raise ValueError(f"the embedder gave {found.shape} for {(len(texts), size)}")
+            out = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size), pa.array(found.astype(np.float32).ravel()), mask=pc.is_null(batch.column(1)) if batch.column(1).null_count else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[key, "embedding"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, embedding array<float>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, embedding array<float>")
+
+
+def vector_rows(df: DataFrame, key: str, text: str, content_hash: str, generation: int, embedder: Embedder = HashedWords()) -> DataFrame:
+    """Rows of document_vectors of documents with a text: (document, model_id, model_version, content_hash, dimensions, embedding, generation)."""
+    hashed = df.select(key, F.col(content_hash).alias("content_hash"))
+    rows = embed(df, key, text, embedder).filter("embedding is not null").join(hashed, key)
+    return rows.select(F.col(key).alias("document"), F.lit(embedder.model).alias("model_id"), F.lit(embedder.version).alias("model_version"), "content_hash", F.lit(embedder.dimensions).alias("dimensions"), "embedding", F.lit(generation).cast("bigint").alias("generation"))
+
+
+def stored(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """What an upsert by (document, model_id, model_version) keeps of vector rows: the latest generation, of known documents only."""
+    rest = [c for c in rows.columns if c not in ("document", "model_id", "model_version", "generation")]
+    last = rows.groupBy("document", "model_id", "model_version").agg(F.max(F.struct("generation", *rest)).alias("m"))
+    return last.join(documents.select(F.col("doc_id").alias("document")), "document", "left_semi").select("document", "model_id", "model_version", "m.*")
+
+
+def stale(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Vector rows whose document's content has another hash now."""
+    now = documents.select(F.col("doc_id").alias("document"), F.col("content_hash").alias("_now"))
+    return rows.join(now, "document").filter(F.col("content_hash") != F.col("_now")).drop("_now")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.operators import paths, reads, resolve
+from vaultframe.operators import paths, reads, resolve, vectors
 from vaultframe.queries.problems import _P5
 from vaultframe.session import table
 
@@ -155,18 +155,17 @@ def j05_outer(spark, sf):
     return live.join(dead, "path", "full_outer").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("paths"))
 
 
+def _vectors(spark, sf):
+    return table(spark, sf, "document_vectors").select("document", "model_id", "model_version", "content_hash", "generation")
+
+
 def j06_stale_vectors(spark, sf):
-    vectors = table(spark, sf, "document_vectors").select("document", "model_id", "model_version", "content_hash", "generation")
-    docs = _docs(spark, sf).select(F.col("doc_id").alias("document"), F.col("content_hash").alias("current"))
-    return vectors.join(docs, "document").filter(F.col("content_hash") != F.col("current")).select("document", "model_id", "model_version", "generation").distinct()
+    return vectors.stale(_vectors(spark, sf), _docs(spark, sf)).select("document", "model_id", "model_version", "generation").distinct()
 
 
 def s12_vector_sink(spark, sf):
     """The rows an upsert by (document, model, version) keeps: the latest generation, of known documents only."""
-    v = table(spark, sf, "document_vectors").select("document", "model_id", "model_version", "content_hash", "generation")
-    last = v.groupBy("document", "model_id", "model_version").agg(F.max(F.struct("generation", "content_hash")).alias("m"))
-    kept = last.join(_docs(spark, sf).select(F.col("doc_id").alias("document")), "document", "left_semi")
-    return kept.select("document", "model_id", "model_version", F.col("m.generation").alias("generation"), F.col("m.content_hash").alias("content_hash"))
+    return vectors.stored(_vectors(spark, sf), _docs(spark, sf))
 
 
 def x13_anchor(spark, sf):

@@ -354,7 +354,23 @@ records AS (
 )"""
 
 
+# FNV-1a of a token's bytes from the model's own state, finished, as a bucket of 64. All in 128-bit integers modulo 2 ** 64.
+_M = "18446744073709551616::UHUGEINT"
+_EMBED = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS tok FROM documents WHERE body IS NOT NULL),
+own AS (SELECT list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform([4, 0, 0, 0, 0, 0, 0, 0, 115, 116, 117, 98, 1, 0, 0, 0, 0, 0, 0, 0, 50], lambda b: b::UHUGEINT)), lambda s, b: (xor(s, b) * 1099511628211::UHUGEINT) % {_M}) AS seed),
+x AS (SELECT tok, hex(encode(tok)) AS h FROM (SELECT DISTINCT tok FROM t)),
+f AS (
+  SELECT tok, list_reduce(list_concat([seed], list_transform(range(1, len(h), 2), lambda i: (16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)::UHUGEINT)), lambda s, b: (xor(s, b) * 1099511628211::UHUGEINT) % {_M}) AS v FROM x, own
+  UNION ALL SELECT NULL, seed FROM own
+), g AS (SELECT tok, xor(v, v >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT % {_M} AS v FROM f), i AS (SELECT tok, xor(v, v >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT % {_M} AS v FROM g), b AS (SELECT tok, (xor(v, v >> 31::UHUGEINT) % 64)::INT AS bucket FROM i),
+c AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, bucket FROM t JOIN b USING (tok) UNION ALL SELECT doc_id, bucket FROM documents, b WHERE tok IS NULL AND body IS NOT NULL) GROUP BY 1, 2),
+v AS (SELECT doc_id, sqrt(sum(n * n))::FLOAT AS norm FROM c GROUP BY 1),
+e AS (SELECT v.doc_id, list((coalesce(n, 0)::FLOAT / norm)::FLOAT ORDER BY k) AS embedding FROM v CROSS JOIN (SELECT unnest(range(64)) AS k) LEFT JOIN c ON c.doc_id = v.doc_id AND bucket = k GROUP BY 1)
+SELECT d.doc_id, embedding FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id"""
+
 ORACLES = {
+    "v01_embed": _EMBED,
     "r16_vocabulary": f"WITH {_TERMS} SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM terms GROUP BY 1",
     "r21_match_and": f"WITH {_TERMS} {_HAS.format('short')} INTERSECT {_HAS.format('moss')}",
     "r21_match_or": f"WITH {_TERMS} {_HAS.format('moss')} UNION {_HAS.format('granero')}",
@@ -436,4 +452,4 @@ FROM links l JOIN documents d ON d.doc_id = l.document WHERE family = 'wikilink'
     "d11_rewrite": "SELECT document, count(*) AS operations FROM (SELECT DISTINCT document, ordinal FROM links WHERE family = 'wikilink' AND protocol IS NULL AND target = 'house-style') GROUP BY 1",
 }
 
-QUERIES = {k: _rule(k) if k in _RULES else globals()[k] for k in [*ORACLES, "v01_embed"]}
+QUERIES = {k: _rule(k) if k in _RULES else globals()[k] for k in ORACLES}

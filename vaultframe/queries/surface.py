@@ -38,6 +38,40 @@ def s14_markdown(spark, sf):
     return formats.markdown(_docs(spark, sf).select("path", "generation", P.raw("type").alias("type")))
 
 
+def s14_records(spark, sf):
+    return formats.records(_docs(spark, sf).select("path", "generation", P.raw("type").alias("type")))
+
+
+def s14_paths(spark, sf):
+    return formats.paths_only(_docs(spark, sf).filter(P.eq("type", "task")))
+
+
+def s14_json(spark, sf):
+    return formats.json_array(_docs(spark, sf).select("path", "generation"))
+
+
+def s14_report(spark, sf):
+    counts = _docs(spark, sf).groupBy(F.coalesce(P.raw("type"), F.lit("(missing)")).alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    return formats.report(counts, "documents")
+
+
+def j00_match_paths(spark, sf):
+    """Documents with a phrase, in path order."""
+    index = fulltext.postings(_docs(spark, sf), "doc_id", "body")
+    return fulltext.documents(fulltext.match_phrase(index, "the moss"), _docs(spark, sf)).select("path", "content_hash")
+
+
+def parse08_field_texts(spark, sf):
+    """Every string of each frontmatter field: a scalar, or the items of a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, s[0], s[1]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for s in frontmatter.read(t).strings]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.string()))], names=["doc_id", "field", "text"])
+
+    return spread(_docs(spark, sf).select("doc_id", "text")).mapInArrow(run, "doc_id bigint, field string, text string")
+
+
 def parse07_fields(spark, sf):
     """Each frontmatter field with the style its value is written in."""
 
@@ -241,6 +275,14 @@ ORACLES = {
     "s05_membership": r"SELECT path, ends_with(lower(path), '.md') AS markdown FROM (SELECT path FROM documents UNION SELECT target FROM links WHERE family = 'markdown')",
     "s14_jsonl": "SELECT to_json({'path': path, 'generation': generation})::VARCHAR AS line FROM documents",
     "s14_markdown": f"SELECT '| ' || replace(path, '|', '\\|') || ' | ' || generation || ' | ' || coalesce({_TYPE}, '') || ' |' AS line FROM documents",
+    "s14_records": f"SELECT concat_ws(chr(10), path, '  generation: ' || generation, '  type: ' || {_TYPE}) AS line FROM documents",
+    "s14_paths": f"SELECT path AS line FROM documents WHERE {_TYPE} = 'task' AND json_type(json_extract(frontmatter, '$.\"type\"')) = 'VARCHAR'",
+    "s14_json": "SELECT '[' AS line UNION ALL SELECT ']' UNION ALL SELECT to_json({'path': path, 'generation': generation})::VARCHAR || CASE WHEN path = (SELECT max(path) FROM documents) THEN '' ELSE ',' END FROM documents",
+    "s14_report": f"SELECT 'documents: ' || count(*) AS line FROM documents UNION ALL SELECT lpad(count(*)::VARCHAR, 8, ' ') || '  ' || coalesce({_TYPE}, '(missing)') FROM documents GROUP BY coalesce({_TYPE}, '(missing)')",
+    "j00_match_paths": r"SELECT path, content_hash FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(strip_accents(lower(body)), '[\p{L}\p{N}]+'), ' ') || ' ', ' the moss ')",
+    "parse08_field_texts": """
+WITH f AS (SELECT doc_id, unnest(json_keys(frontmatter)) AS k, frontmatter FROM documents WHERE frontmatter IS NOT NULL), v AS (SELECT doc_id, k, json_extract(frontmatter, '$."' || k || '"') AS j FROM f)
+SELECT doc_id, k AS field, j ->> '$' AS text FROM v WHERE json_type(j) = 'VARCHAR' UNION ALL SELECT doc_id, k, x ->> '$' FROM (SELECT doc_id, k, unnest(json_extract(j, '$[*]')) AS x FROM v WHERE json_type(j) = 'ARRAY') WHERE json_type(x) = 'VARCHAR'""",
     "parse21_blocks": "SELECT doc_id AS document, 0 AS ordinal, 'b' || doc_id AS block_id FROM documents WHERE body IS NOT NULL AND NOT regexp_matches(body, '[`~<]')",
     "parse07_field_names": "SELECT doc_id, unnest(json_keys(frontmatter)) AS field FROM documents WHERE frontmatter IS NOT NULL",
     "f19_section": _CONTENT + " SELECT document, ordinal, content FROM c WHERE text = 'Log'",
