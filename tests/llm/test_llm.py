@@ -72,6 +72,14 @@ def test_near_duplicates_are_exact(spark, width, least):
     assert empty.expanded().count() == 0 and empty.groups().count() == 0
 
 
+def test_large_classes_are_listed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CLASS_ROWS", 7)
+    members = spark.createDataFrame([(i, 0 if i < 40 else i, i) for i in range(43)], "doc bigint, rep bigint, head bigint")
+    pairs = spark.createDataFrame([(0, 41, 0.9)], "a bigint, b bigint, similarity double")
+    got = [tuple(r) for r in neardup.NearDuplicates(members, pairs).expanded().collect()]
+    assert sorted(got) == sorted({(a, b) for a in range(40) for b in range(a + 1, 40)} | {(a, 41) for a in range(40)})
+
+
 @pytest.mark.parametrize("width,least", [(3, 0.7), (5, 0.8)])
 def test_every_text_has_a_class_and_its_links(spark, width, least):
     long = "one two three four five six seven eight nine ten eleven twelve"

@@ -29,6 +29,8 @@ SKETCH_BITS = 20
 _BLOCK_BITS = 14
 #: Members of a group agree in as many minimum hashes: fewer make larger, looser groups, whose unions bound less well.
 GROUP_HASHES = 3
+#: Copies of a class that meet in one task when all its pairs are listed.
+CLASS_ROWS = 2000
 #: Slots of the filter over the sets that are compared: 2 ** SLOT_BITS, the most rows that its broadcast can have.
 SLOT_BITS = 18
 #: Bytes of text, and tokens, that a task handles at once.
@@ -137,7 +139,13 @@ class NearDuplicates:
         m = self.members
         of_a, of_b = m.select(F.col("rep").alias("a"), F.col("doc").alias("x")), m.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
         across = self.pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("x", "y")
-        within = m.select("rep", F.col("doc").alias("x")).join(m.select("rep", F.col("doc").alias("y")), "rep").filter("x < y").select("x", "y")
+        # a class of more than CLASS_ROWS copies is cut into blocks that meet pairwise, each meeting a task's own
+        sizes = m.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / CLASS_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
+        placed = skew_join(m.select("rep", "doc"), sizes, "rep", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        left = placed.select("rep", F.col("doc").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+        right = placed.select("rep", F.col("doc").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+        within = left.join(right, ["rep", "i", "j"]).filter("i < j or x < y").select("x", "y")
         return across.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
     def groups(self) -> DataFrame:
