@@ -129,6 +129,27 @@ def test_store_keeps_facts_current(spark, tmp_path):
     assert {r["side"]: r["rows"] for r in s.drift().collect()} == {"stored": 1, "derived": 0}
 
 
+def test_counters_and_vectors_of_the_store(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    s.apply(parsed(spark, [("a.md", "---\ntags: [y]\n---\n# One\n[[b]] #x ^id\n"), ("b.md", "# Two\n## Three\n")]), 1)
+    said = lambda: {k: n for k, n in s.counters.items() if n}
+    assert said() == {"documents_upserted": 2, "link_rows_written": 1, "heading_rows_written": 3, "block_rows_written": 1, "tag_rows_written": 2, "frontmatter_projections": 1}
+    rows = spark.createDataFrame([("a.md", "m", "1", "h", 2, [1.0, 0.0]), ("b.md", "m", "1", "h", 2, [0.0, 1.0])], "path string, model_id string, model_version string, content_hash string, dimensions int, embedding array<float>")
+    s.store_vectors(rows)
+    assert said() == {"vectors_written": 2}
+    s.store_vectors(rows.filter("path = 'a.md'").withColumn("content_hash", F.lit("new")))
+    assert sorted((r["path"], r["content_hash"]) for r in s.read("vectors").collect()) == [("a.md", "new"), ("b.md", "h")]
+    with pytest.raises(ValueError):
+        s.store_vectors(rows.withColumn("path", F.lit("gone.md")))
+    s.record(findings.records(spark.createDataFrame([("forbidden-field", "warning", "a.md", "zip", "1")], "code string, severity string, path string, subject string, detail string")))
+    assert said() == {"findings_written": 1}
+    s.apply(spark.createDataFrame([death(0, "a.md"), death(1, "never.md")], CHANGE), 2)
+    assert said() == {"documents_deleted": 1, "tombstones_recorded": 2, "fact_rows_discarded": 5, "findings_discarded": 1}
+    assert [r["path"] for r in s.read("vectors").collect()] == ["b.md"]
+    s.apply(spark.createDataFrame([], CHANGE), 3)
+    assert said() == {} and s.pin_schema("v") and said() == {"vault_schema_pins": 1}
+
+
 def test_a_changeset_writes_its_own_buckets_only(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), buckets=16)
     s.apply(spark.createDataFrame([up(i, f"d/{i}.md", "x") for i in range(60)], CHANGE), 0)

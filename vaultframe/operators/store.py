@@ -32,8 +32,14 @@ SCHEMAS = {
     "tombstones": TOMBSTONES,
     "findings": findings.RECORD,
     "postings": "term string, path string, positions array<int>",
+    "vectors": "path string, model_id string, model_version string, content_hash string, dimensions int, embedding array<float>, generation bigint",
     **{name: "path string, " + fields.replace(":", " ").replace(",", ", ") for name, fields in FACTS.items()},
 }
+# What a request counts: fixed names. A request that only reads leaves all at zero.
+COUNTERS = [
+    "documents_upserted", "documents_deleted", "link_rows_written", "heading_rows_written", "block_rows_written", "tag_rows_written", "fact_rows_discarded",
+    "frontmatter_projections", "tombstones_recorded", "findings_written", "findings_discarded", "vectors_written", "vault_schema_pins",
+]
 PROVENANCES = ["heal-prune", "watcher-removal", "plan-delete", "quarantine"]
 
 
@@ -111,7 +117,7 @@ class Store:
     one task writes well (some hundred MB). With `indexed` the postings of bodies are kept too."""
 
     def __init__(self, spark: SparkSession, base: str, buckets: int = 8, indexed: bool = False) -> None:
-        self.spark, self.base = spark, base.rstrip("/")
+        self.spark, self.base, self.counters = spark, base.rstrip("/"), dict.fromkeys(COUNTERS, 0)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -197,7 +203,7 @@ class Store:
         """Applies a changeset and returns the generation it took, or the current one if it was empty. A changeset with a refused entry
         changes nothing. Findings of the changed paths, and link findings of the classes they touch, are discarded with it. A `batch`
         that the last changeset was applied under is not applied again, so a batch replayed after a crash changes nothing."""
-        state = self.state()
+        state, self.counters = self.state(), dict.fromkeys(COUNTERS, 0)
         if batch is not None and state["batch"] == batch:
             return state["generation"]
         folded = materialize(fold(changes), "changes")
@@ -210,6 +216,7 @@ class Store:
         new = {**state, "generation": state["generation"] + 1, "revision": state["revision"] + 1, "batch": batch, "written": {k: dict(v) for k, v in state["written"].items()}}
         documents, tombstones = self._at(state, "documents", touched), self._at(state, "tombstones", touched)
         paths_ = folded.select("path")
+        self._count(state, folded, documents, touched)
         if state["indexed"]:
             up = folded.filter("kind = 'upsert'").select("path", "body", "body_hash")
             same = up.join(documents.select("path", "body_hash"), ["path", "body_hash"], "left_semi").select("path")
@@ -229,15 +236,46 @@ class Store:
             hit = standing.select("id", "path", F.explode("class_keys").alias("k")).select("id", "path", F.concat(F.substring_index("k", "/", 1), F.lit("/")).alias("class_key")).join(classes, "class_key", "left_semi")
             hit = materialize(hit.select("id", "path").distinct(), "discarded")
             also = sorted({*touched, *self._buckets_of(state, hit)})
+            self.counters["findings_discarded"] = standing.select("id", "path").join(paths_, "path", "left_semi").union(hit).distinct().count()
             self._put(new, "findings", self._at(state, "findings", also).join(paths_, "path", "left_anti").join(hit, ["id", "path"], "left_anti"), also)
+        if "vectors" in state["written"]:
+            dead = folded.filter("kind = 'death'").select("path")
+            self._put(new, "vectors", self._at(state, "vectors", touched).join(dead, "path", "left_anti"), touched)
         self._point(new)
         return new["generation"]
 
+    def _count(self, state: dict, folded: DataFrame, documents: DataFrame, touched: list[int]) -> None:
+        """What a changeset is about to write and drop: one pass over it, and one for each table of facts that it touches."""
+        up = F.col("kind") == "upsert"
+        number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        facts = {"links": "link_rows_written", "headings": "heading_rows_written", "blocks": "block_rows_written", "tags": "tag_rows_written"}
+        sums = {"documents_upserted": up.cast("int"), "tombstones_recorded": (~up).cast("int"), "frontmatter_projections": (up & F.col("frontmatter").isNotNull()).cast("int")}
+        sums |= {name: F.when(up, F.size(table)) for table, name in facts.items() if table in folded.columns}
+        self.counters |= folded.agg(*[number(c).alias(n) for n, c in sums.items()]).first().asDict()
+        self.counters["documents_deleted"] = documents.select("path").join(folded.filter(~up).select("path"), "path", "left_semi").count()
+        self.counters["fact_rows_discarded"] = sum(self._at(state, t, touched).join(folded.select("path"), "path", "left_semi").count() for t in FACTS if t in state["written"])
+
+    def store_vectors(self, rows: DataFrame) -> None:
+        """Keeps vectors (path, model_id, model_version, content_hash, dimensions, embedding): one for each path, model and version, the new ones
+        instead of the old, under the current generation. A vector of a path that has no document refuses all. A death takes its path's along."""
+        state, self.counters = self.state(), dict.fromkeys(COUNTERS, 0)
+        keys = ["path", "model_id", "model_version"]
+        fresh = materialize(rows.select(*keys, "content_hash", "dimensions", "embedding").dropDuplicates(keys).withColumn("generation", F.lit(state["generation"]).cast("bigint")), "vectors")
+        touched = self._buckets_of(state, fresh)
+        unknown = fresh.select("path").join(self._at(state, "documents", touched).select("path"), "path", "left_anti").limit(5).collect()
+        if unknown:
+            raise ValueError(f"vectors of unknown documents: {[r['path'] for r in unknown]}")
+        if touched:
+            new = {**state, "revision": state["revision"] + 1, "written": {k: dict(v) for k, v in state["written"].items()}}
+            self._put(new, "vectors", self._at(state, "vectors", touched).join(fresh.select(*keys), keys, "left_anti").unionByName(fresh), touched)
+            self._point(new)
+        self.counters["vectors_written"] = fresh.count()
+
     def record(self, found: DataFrame) -> int:
         """Adds findings (`findings.records`) under the pinned schema's fingerprint and the current generation, and returns how many stand now.
         One with a head of more than HEAD candidates, or of more than there are, refuses all. A finding of a place is withheld while a
         document stands there; a finding that stands already is one row."""
-        state = self.state()
+        state, self.counters = self.state(), dict.fromkeys(COUNTERS, 0)
         rows = materialize(found.select(*[c for c in found.columns if c not in ("fingerprint", "generation")]), "found")
         bad = rows.filter((F.size("candidates") > findings.resolve.HEAD) | (F.size("candidates") > F.col("candidates_total"))).limit(5).collect()
         if bad:
@@ -247,7 +285,9 @@ class Store:
         if touched:
             fresh = findings.withheld(rows, self._at(state, "documents", touched)).withColumns({"fingerprint": F.lit(state["schema"]).cast("string"), "generation": F.lit(state["generation"]).cast("bigint")})
             old = self._at(state, "findings", touched)
-            self._put(new, "findings", old.unionByName(fresh.join(old, ["id", "path"], "left_anti")), touched)
+            added = materialize(fresh.join(old, ["id", "path"], "left_anti"), "added")
+            self.counters["findings_written"] = added.count()
+            self._put(new, "findings", old.unionByName(added), touched)
             self._point(new)
         return self.read("findings").count()
 
@@ -271,6 +311,7 @@ class Store:
         new = {**state, "schema": fingerprint, "generation": state["generation"] + bool(state["generation"]), "revision": state["revision"] + 1, "written": {k: dict(v) for k, v in state["written"].items()}}
         if "findings" in state["written"]:
             self._put(new, "findings", self.read("findings").filter(F.col("fingerprint") == fingerprint), [int(b) for b in state["written"]["findings"]])
+        self.counters = dict.fromkeys(COUNTERS, 0) | {"vault_schema_pins": 1}
         self._point(new)
         return True
 
