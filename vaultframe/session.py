@@ -50,13 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet under the checkpoint folder and read again: lineage is cut, an executor's loss costs nothing,
     and later passes read only the columns they need. The files go at the end of the `scratch` they were written in, or else when the
     driver's process ends."""
-    spark = df.sparkSession
-    at = f"{checkpoint_dir(spark)}/vaultframe/{name}-{uuid.uuid4().hex}"
+    at = folder(df.sparkSession, name)
     df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the checkpoint folder, which goes as what `materialize` writes does."""
+    at = f"{checkpoint_dir(spark)}/vaultframe/{name}-{uuid.uuid4().hex}"
     atexit.register(release, spark, at)
     for written in _scratch[-1:]:
         written.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    return at
 
 
 _scratch: list[list] = []
