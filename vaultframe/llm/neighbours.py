@@ -106,9 +106,8 @@ class VectorIndex:
         rows = usable(df).withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64(F.lit(1), "embedding", "dimensions"))
         same = ["model_id", "dimensions", "h", "g"]
         distinct = rows.groupBy(*same).agg(F.first("embedding").alias("embedding"))
-        kept = materialize(distinct, "vectors")
-        kept = kept.withColumn("vid", F.monotonically_increasing_id())  # stable: the written files don't change
-        self.vectors = materialize(kept.select("vid", *same, "embedding"), "vectors")
+        # numbered as they are written, once: whoever reads the files sees the same numbers
+        self.vectors = materialize(distinct.select(F.monotonically_increasing_id().alias("vid"), *same, "embedding"), "vectors")
         self.owners = materialize(rows.select(*same, "document").distinct().join(self.vectors.select(*same, "vid"), same).select("vid", "document"), "owners")
         self.sizes = {(r["model_id"], r["dimensions"]): r["count"] for r in self.vectors.groupBy("model_id", "dimensions").count().collect()}
         self.spaces = {s: i for i, s in enumerate(sorted(self.sizes))}
