@@ -476,3 +476,14 @@ def test_counters_and_bars(spark):
     df.collect()
     assert seen.get == {"rows": 6, "most": 9}
     assert not observe.bars(df)["pairwise"] and "Physical Plan" in observe.plan_text(df)
+
+
+def test_a_page_reads_from_its_cursor_on(spark, tmp_path):
+    from vaultframe.operators import observe
+
+    at = str(tmp_path / "t")
+    rows = spark.range(40_000).select(F.format_string("p%06d", "id").alias("path"), F.expr("repeat('x', 50)").alias("body"))
+    rows.repartitionByRange(8, "path").sortWithinPartitions("path").write.parquet(at)
+    early, late = (observe.read_rows(reads.page(spark.read.parquet(at), "path", cursor, 100)) for cursor in ("p000010", "p039000"))
+    assert [r["path"] for r in late[0]][:1] == ["p039001"] and len(early[0]) == len(late[0]) == 100
+    assert late[1] < early[1] <= 40_000  # files that end before the cursor give no row

@@ -26,3 +26,22 @@ def counted(df: DataFrame, name: str, **counters) -> tuple[DataFrame, Observatio
     """The same rows, and an observation that has `rows` and the given aggregates once an action has run."""
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counters.items()]), seen
+
+
+def read_rows(df: DataFrame) -> tuple[list, int]:
+    """The rows of a bounded read (a page, a lookup), and how many rows its scans gave to get them: what its work was, whatever came out."""
+    rows = df.collect()
+
+    def scanned(node) -> int:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return scanned(node.executedPlan())
+        if "QueryStage" in name:
+            return scanned(node.plan())
+        children = node.children()
+        if children.size():
+            return sum(scanned(children.apply(i)) for i in range(children.size()))
+        metrics = node.metrics()
+        return metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0
+
+    return rows, scanned(df._jdf.queryExecution().executedPlan())
