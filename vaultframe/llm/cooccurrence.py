@@ -82,22 +82,22 @@ def log_upper_tail(q: np.ndarray, m: np.ndarray, c: int) -> float:
         return -math.inf
     if c == m.sum():
         return float((m * np.log(q)).sum())
-    theta = 0.0
-    if c > (m * q).sum():
-        low, high = 0.0, 1.0
-        tilted = lambda h: float((m * (q / (q + (1 - q) * np.exp(-h)))).sum())
-        while tilted(high) < c:
-            low, high = high, high * 2
-        for _ in range(60):
-            theta = (low + high) / 2
-            low, high = (theta, high) if tilted(theta) < c else (low, theta)
+    theta, mean = 0.0, float((m * q).sum())
+    if c > mean:  # tilted so that c is about the mean; how closely changes nothing but the rounding
+        theta = math.log(c / mean)
+        for _ in range(50):
+            p = q / (q + (1 - q) * math.exp(-theta))
+            off = c - float((m * p).sum())
+            if abs(off) < 1e-3 * math.sqrt(c):
+                break
+            theta += max(-3.0, min(3.0, off / max(1e-300, float((m * p * (1 - p)).sum()))))
     p = q / (q + (1 - q) * np.exp(-theta))
     spread = math.sqrt(float((m * p * (1 - p)).sum()))
-    width = int(26 * spread) + 64
+    width = 2 * (int(9 * spread) + 24)  # what lies beyond weighs less than rounding
     start = max(0, c - width // 2)
-    angle = 2 * np.pi * np.arange(width) / width
+    angle = 2 * np.pi * np.arange(width // 2 + 1) / width  # the other half is its mirror, as the masses are real
     logs = (m[:, None] * np.log(1 + p[:, None] * np.expm1(1j * angle)[None, :])).sum(0)
-    mass = np.fft.fft(np.exp(logs - 1j * angle * start)).real / width
+    mass = np.fft.irfft(np.conj(np.exp(logs - 1j * angle * start)), width)
     upper = np.maximum(mass[c - start :], 0)
     tail = float((upper * np.exp(-theta * np.arange(len(upper)))).sum())
     scale = float((m * np.log1p(q * np.expm1(theta))).sum()) - theta * c if theta < 500 else float((m * (theta + np.log(q))).sum()) - theta * c
